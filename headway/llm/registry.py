@@ -1,10 +1,11 @@
 """The corpus queries by name, and SQL for those that SQL expresses."""
 
-from headway.llm import exact_dedup, mixing
+from headway.llm import exact_dedup, mixing, packing
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLES = {
