@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,19 +56,43 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
 
 
+def portions(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes, one text at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+    start = 0
+    while start < len(sizes):
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield start, end
+        start = end
+
+
+def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of the texts, each word's place among them in order, and where each text's words begin (and end)."""
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    offsets = parts.offsets.to_numpy()
+    coded = parts.flatten().dictionary_encode()
+    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    full = np.array([bool(w) for w in words], bool)[at] if words else np.zeros(0, bool)
+    before = np.concatenate([[0], np.cumsum(full)])
+    return words, at[full], before[offsets - offsets[0]]
+
+
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bound and then begun anew."""
+    """64-bit hashes of words, remembered up to a bound and then begun anew."""
 
     BOUND = 400_000
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         if len(self) >= self.BOUND:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
         return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words of the texts, and where each text's words begin (and end)."""
+        words, at, starts = coded_words(texts)
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))[at], starts
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from headway.llm.common import written
+from headway.llm.common import portions, written
 
 LENGTH, STEP, END = 2048, 32, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -101,17 +101,6 @@ class ChunkIds(dict):
         return ids[places], ends[offsets - offsets[0]]
 
 
-def portions(texts: pa.Array, most: int = 16_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes, one text at least."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
-    start = 0
-    while start < len(sizes):
-        before = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
-        yield start, end
-        start = end
-
-
 _chunks: dict[str, ChunkIds] = {}
 
 
@@ -124,7 +113,7 @@ def _pieces(tokenizer: str, length: int):
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
-            for a, b in portions(batch.column(1)):
+            for a, b in portions(batch.column(1), 16_000_000):
                 out: list[list] = [[], [], [], [], []]
                 ids, begins = known.of(batch.column(1).slice(a, b - a))
                 for k, doc in enumerate(batch.column(0).slice(a, b - a).to_pylist()):

@@ -1,11 +1,12 @@
 """The corpus queries by name, and SQL for those that SQL expresses."""
 
-from headway.llm import exact_dedup, mixing, packing
+from headway.llm import exact_dedup, mixing, packing, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_packing": packing.op8_packing,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLES = {
