@@ -1,12 +1,13 @@
 """The corpus queries by name, and SQL for those that SQL expresses."""
 
-from headway.llm import exact_dedup, mixing, packing, toxicity
+from headway.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLES = {
