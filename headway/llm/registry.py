@@ -1,9 +1,12 @@
 """The corpus queries by name, and SQL for those that SQL expresses."""
 
-from headway.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from headway.llm import exact_dedup, media, mixing, near_dedup, packing, preference, toxicity, url_filter
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op5_media": media.op5_media,
+    "op6_preference": preference.op6_preference,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
@@ -11,5 +14,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_preference": preference.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
