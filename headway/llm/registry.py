@@ -1,9 +1,10 @@
 """The corpus queries by name, and SQL for those that SQL expresses."""
 
-from headway.llm import exact_dedup, media, mixing, near_dedup, packing, preference, toxicity, url_filter
+from headway.llm import exact_dedup, media, mixing, near_dedup, packing, preference, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_media": media.op5_media,
     "op6_preference": preference.op6_preference,
