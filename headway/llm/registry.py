@@ -1,8 +1,9 @@
 """The corpus queries by name, and SQL for those that SQL expresses."""
 
-from headway.llm import exact_dedup, media, mixing, near_dedup, packing, preference, substring_dedup, toxicity, url_filter
+from headway.llm import exact_dedup, media, mixing, near_dedup, packing, pii, preference, substring_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
