@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from headway.constants import DEGREE_M, RADIUS_M
 
@@ -96,6 +97,9 @@ class Track:
         return float(self.length[first + k] + t[k] * math.sqrt(square[k])), float(off[k])
 
 
-@F.pandas_udf("array<struct<lat:double,lon:double>>")
+POINTS = T.ArrayType(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
+
+
+@F.pandas_udf(POINTS)
 def polyline_points(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else [{"lat": float(a), "lon": float(b)} for a, b in decode_polyline(t)])

@@ -1,32 +1,11 @@
-"""Every query of the engine's own operators, with the SQL that gives the same rows."""
+"""Every query of the engine's own operators over the driver's tables, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-from headway.session import table
+from headway.plans import aggregates, boards, calendar, estimators, histories, sequences, spatial
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "current_state",
-    """SELECT user_id, event_id, event_type, ts FROM (
-         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
-)
-def current_state(spark, sf_dir):
-    newest = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
-    return e.withColumn("rn", F.row_number().over(newest)).filter("rn = 1").drop("rn")
+for part in (histories, sequences, aggregates, calendar, spatial, boards, estimators):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
