@@ -8,7 +8,8 @@ kept inside a bracket. Rates depend on (source, words) alone, so every step aggr
 
 Rates become copies by floor(r_d + u_d + shift_s) with u_d in [0, 1) from a hash of doc_id. shift_s is found by dividing its
 range again and again, each time with one aggregation for all the trial values, until the words taken meet the target as
-nearly as one document allows; then single documents whose size is nearest to what is left gain or lose one copy.
+nearly as one document allows; then single documents whose size is nearest to what is left gain or lose one copy, and at
+last one gains and another loses a copy, their sizes differing by what is left.
 
 All sums that decide anything are of integers or decimals, so the order of tasks cannot change a result.
 
@@ -34,7 +35,9 @@ NEWTON_STEPS = 40
 TOLERANCE = 1e-9
 TRIALS = 15
 DIVISIONS = 5
-CORRECTIONS = 3
+CORRECTIONS = 2
+#: How far from what is left the difference of two swapped sizes may be.
+SWAP = 8
 
 
 def with_size(docs: DataFrame, name: str = "size") -> DataFrame:
@@ -141,21 +144,39 @@ def fit(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = ends.select("source", "source_size", "target", "mean", "tilt", F.when(nearer, F.col("high")).otherwise(F.col("low")).alias("shift"))
     state = written(state, "state")
     gains = written(sizes.select("doc_id", "source", "size", F.lit(0).alias("gain")).limit(0), "gains")
-    for _ in range(CORRECTIONS):
+    for change in (*[_single] * CORRECTIONS, _swap):
         rows = apply(sizes, state, gains)
-        left = written(rows.groupBy(F.col("source").alias("of")).agg((F.max("target") - F.sum("taken")).alias("left"), F.max("target").alias("goal")), "left")
+        left = written(rows.groupBy(F.col("source").alias("of")).agg((F.max("target") - F.sum("taken")).alias("left")), "left")
         may = rows.join(left, rows["source"].eqNullSafe(left["of"]) & (F.col("size") > 0) & (F.abs(F.col("left")) >= 1.0))
-        may = may.filter(F.when(F.col("left") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0))
-        off = F.abs(F.abs(F.col("left")) - F.col("size"))
-        may = may.filter(off < F.abs(F.col("left"))).groupBy("source").agg(
-            F.min(F.struct(off.alias("off"), F.xxhash64("doc_id").alias("by"), "doc_id", "size", F.signum("left").cast("int").alias("gain"))).alias("x")
-        )
-        more = written(gains.unionByName(may.select("x.doc_id", "source", "x.size", "x.gain")), "gains")
+        more = written(gains.unionByName(change(may)), "gains")
         removed(gains)
         gains = more
     return state, gains
 
 
+def _single(may: DataFrame) -> DataFrame:
+    """Of each source the document whose one copy more or less comes nearest to what is left, if that is nearer than before."""
+    may = may.filter(F.when(F.col("left") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0))
+    off = F.abs(F.abs(F.col("left")) - F.col("size"))
+    best = F.min(F.struct(off.alias("off"), F.xxhash64("doc_id").alias("by"), "doc_id", "size", F.signum("left").cast("int").alias("gain")))
+    may = may.filter(off < F.abs(F.col("left"))).groupBy("source").agg(best.alias("x"))
+    return may.select("x.doc_id", "source", "x.size", "x.gain")
+
+
+def _swap(may: DataFrame) -> DataFrame:
+    """Of each source one document that gains a copy and one that loses one. They are found by size: one of each size is enough."""
+    one = F.min(F.struct(F.xxhash64("doc_id").alias("by"), "doc_id"))["doc_id"]
+    up = may.filter(F.col("copies") < MOST).groupBy("source", "size", "left").agg(one.alias("more_id")).withColumnRenamed("size", "more")
+    down = may.filter("copies > 0").groupBy(F.col("source").alias("from"), F.col("size").alias("less")).agg(one.alias("less_id"))
+    want = F.col("more") - F.round("left").cast("long")
+    up = up.withColumn("want", F.explode(F.sequence(want - SWAP, want + SWAP)))
+    both = up.join(down, up["source"].eqNullSafe(down["from"]) & (up["want"] == down["less"]) & ~F.col("more_id").eqNullSafe(F.col("less_id")))
+    off = F.abs(F.col("left") - (F.col("more") - F.col("less")))
+    both = both.filter(off < F.abs(F.col("left"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "more", "more_id", "less", "less_id")).alias("x"))
+    pair = F.array(*[F.struct(F.col(f"x.{k}_id").alias("doc_id"), F.col(f"x.{k}").alias("size"), F.lit(g).alias("gain")) for k, g in (("more", 1), ("less", -1))])
+    return both.select("source", F.explode(pair).alias("y")).select("y.doc_id", "source", "y.size", "y.gain")
+
+
 def apply(sized: DataFrame, state: DataFrame, gains: DataFrame) -> DataFrame:
     """``sized`` with its source's source_size and target, and its own copies and taken."""
     rows = _meet(sized, state)

@@ -17,9 +17,9 @@ The signature test keeps pairs that agree in at least ``AGREE`` of the minima; a
 probability below 1e-6.
 
 Defined results: texts that are null or without words have no shingles, link with nothing and stay; fewer than 5 words are
-one shingle; rows that repeat a doc_id are one document that holds all their sets; a row without doc_id belongs to its class
-and stays only where no row of the class has an id; an empty table gives an empty result; other columns pass through
-``kept_documents`` and are not read otherwise.
+one shingle; rows that repeat a doc_id are one document that holds all their sets; a row without doc_id is compared with
+nothing, has no component and stays; an empty table gives an empty result; other columns pass through ``kept_documents`` and
+are not read otherwise.
 """
 
 from __future__ import annotations
@@ -188,7 +188,7 @@ def across(buckets: DataFrame, classes: DataFrame, comps: DataFrame, best: bool)
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, id, component) of every row, id being its class; and the rows' sets behind them."""
     signed = written(signatures(docs), "signatures")
-    full = signed.filter("n_shingles > 0")
+    full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     named = written(full.groupBy("low", "high").agg(F.min("doc_id").alias("id")), "classes")
     # one row per class: that of the smallest doc_id (rows that repeat it carry the same set)
     first = full.join(named, (full["doc_id"] == named["id"]) & (full["low"] == named["low"]) & (full["high"] == named["high"]), "left_semi")
@@ -218,7 +218,7 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = written(links.unionByName(confirm(pairs, texts)), "links")
         comps = written(components(links), "components")
     rows = signed.select("doc_id", "n_shingles", "low", "high")
-    rows = rows.join(named, ["low", "high"], "left").withColumn("id", F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id")))
+    rows = rows.join(named, ["low", "high"], "left").withColumn("id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("id")).otherwise(F.col("doc_id")))
     rows = written(rows.select("doc_id", "n_shingles", "id"), "rows")
     return rows.join(comps, "id", "left").withColumn("component_id", F.coalesce("component", "id")), classes
 
@@ -230,10 +230,10 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one per component, with all their columns."""
-    stay = written(decisions(docs).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
-    rows = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__kept_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, one per component and all without doc_id, with all their columns."""
+    stay = written(decisions(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
+    rows = docs.join(stay, docs["doc_id"] == stay["__kept_id"], "left_semi")
+    return rows.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

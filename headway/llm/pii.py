@@ -37,7 +37,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 CARD_DIGITS, PHONE_DIGITS = (16, 19), (8, 15)
 
-SAMPLE, BUCKETS, LABELS = 3000, 1 << 15, 1 + len(KINDS)
+SAMPLE, BUCKETS, FEATURES, LABELS = 3000, 1 << 15, 12, 1 + len(KINDS)
 EPOCHS, BATCH, RATE, SEED = 25, 256, 0.5, 11
 ROUNDS, DAMPING, SURE, REACH = 8, 0.3, 0.9, 4.0
 TOKEN = re.compile(r"[0-9@+][^\s]*")
@@ -135,7 +135,7 @@ class Field:
                 self.text.append(t)
                 self.spans.append((start, end))
                 rows.append(features(text, start, end))
-        self.rows = np.array(rows, np.int64).reshape(len(rows), -1)
+        self.rows = np.array(rows, np.int64).reshape(-1, FEATURES)
         self.chain, self.skip = (np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip))
 
     def labels(self, base: list[list[Span]]) -> np.ndarray:
