@@ -4,11 +4,12 @@
    universal hash functions. Documents with equal sets are one class, named by its smallest doc_id; only classes go on.
 2. Minima are banded, ``ROWS`` to a band. At a similarity of 0.75 two classes share none of the bands with a probability of
    (1 - 0.75**4)**40 < 3e-7.
-3. Each class is paired with the leaders (smallest ids) of its buckets that it meets most often; pairs whose signatures
-   agree enough are confirmed on the full sets of both texts, and confirmed links are joined to components.
+3. A bucket's leader is the class that has the most companions over all its buckets, so the text from which many copies
+   were made leads them. Each class is paired with up to three leaders of its buckets; pairs whose signatures agree
+   enough are confirmed on the full sets of both texts, and confirmed links are joined to components.
 4. Then every bucket that still holds several components is compared in tiles: each member outside the bucket's largest
    component against all members of other components, by signatures, a tile of at most about ``TILE`` x ``TILE`` at a time.
-   First the best pair of a member and another component is confirmed, then whatever is still between different components.
+   First each member's best partner in another component is confirmed, then whatever is still between different components.
    So no pair that shares a bucket and could join two components goes unseen, while pairs within a component, which
    cannot change the result, are never formed.
 5. Components come from alternating large-star and small-star steps until nothing changes.
@@ -27,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +38,7 @@ from headway.llm.common import Rolling, WordHashes, mix64, portions, removed, wr
 SHINGLE, HASHES, ROWS = 5, 160, 4
 BANDS = HASHES // ROWS
 AGREE = 0.57 * HASHES
-LEADERS, TILE = 3, 1024
+TILE, TILED = 1024, ("band", "key", "piece", "part")
 
 _rng = np.random.default_rng(0x5EED)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -141,21 +141,40 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _tiles(best: bool):
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a tile that belong to different components and agree enough: all, or the best by query and component."""
-        query, member = rows[rows["query"]], rows[~rows["query"]]
-        out: list[pd.DataFrame] = []
-        if len(query) and len(member):
-            own = np.frombuffer(b"".join(member["signature"]), np.uint16).reshape(-1, HASHES)
-            ids, comps = member["id"].to_numpy(), member["component"].to_numpy()
-            for q in query.itertuples(index=False):
-                agree = (own == np.frombuffer(q.signature, np.uint16)).sum(1)
-                hit = np.flatnonzero((agree >= AGREE) & (comps != q.component))
-                if best and len(hit):
-                    hit = hit[np.lexsort((ids[hit], -agree[hit]))]
-                    hit = hit[np.unique(comps[hit], return_index=True)[1]]
-                out.append(pd.DataFrame({"a": q.id, "b": ids[hit], "agree": agree[hit].astype(np.int64), "ca": q.component, "cb": comps[hit]}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("a", "b", "agree", "ca", "cb")})
+    """Rows sorted by tile to pairs of a tile's queries and members that belong to different components and agree enough: all, or each query's best."""
+
+    def pairs(rows: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
+        signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
+        query, ids, comps = (rows.column(c).to_numpy() for c in ("query", "id", "component"))
+        out: list[list[np.ndarray]] = [[], [], []]
+        for start, end in zip(begin, [*begin[1:], len(ids)], strict=True):
+            asked, member = (start + np.flatnonzero(x) for x in (query[start:end], ~query[start:end]))
+            step = max(1, 8_000_000 // (max(1, len(member)) * HASHES))
+            for part in (asked[k : k + step] for k in range(0, len(asked) if len(member) else 0, step)):
+                agree = np.add.reduce((signs[part][:, None] == signs[member][None]).view(np.uint8), axis=2, dtype=np.uint8)
+                x, y = np.nonzero((agree >= AGREE) & (comps[part][:, None] != comps[member][None]))
+                if best and len(x):
+                    order = np.lexsort((ids[member[y]], -agree[x, y].astype(np.int64), x))
+                    order = order[np.unique(x[order], return_index=True)[1]]
+                    x, y = x[order], y[order]
+                for column, values in zip(out, (ids[part[x]], ids[member[y]], agree[x, y].astype(np.int64)), strict=True):
+                    column.append(values)
+        arrays = [pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in out]
+        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "agree"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+            if not len(rows):
+                continue
+            keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in TILED])
+            begin = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+            rest = rows.slice(begin[-1])
+            if len(begin) > 1:
+                yield pairs(rows.slice(0, begin[-1]), begin[:-1])
+        if rest is not None:
+            yield pairs(rest, np.zeros(1, np.int64))
 
     return of
 
@@ -178,10 +197,10 @@ def across(buckets: DataFrame, classes: DataFrame, comps: DataFrame, best: bool)
     names = ("band", "key", "piece", "part", "query", "id", "component")
     both = written(members.select(*names).unionByName(queries.select(*names)), "tiles")
     signed = both.join(classes.select("id", "signature"), "id")
-    found = signed.groupBy("band", "key", "piece", "part").applyInPandas(_tiles(best), "a long, b long, agree long, ca long, cb long")
+    dealt = signed.select(*TILED, "query", "id", "component", "signature").repartition(*TILED).sortWithinPartitions(*TILED)
+    found = dealt.mapInArrow(_tiles(best), "a long, b long, agree long")
     if best:
-        chosen = found.groupBy("ca", "cb").agg(F.max(F.struct("agree", "a", "b")).alias("x"), F.max(F.struct("agree", F.xxhash64("a", "b"), "a", "b")).alias("y"))
-        found = chosen.select("x.a", "x.b").unionByName(chosen.select("y.a", "y.b"))
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
     return written(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "across")
 
 
@@ -194,13 +213,17 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = full.join(named, (full["doc_id"] == named["id"]) & (full["low"] == named["low"]) & (full["high"] == named["high"]), "left_semi")
     classes = written(first.select(F.col("doc_id").alias("id"), "signature", "bands"), "reps")
     band = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    leaders = band.groupBy("band", "key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last")
-    leaders = written(leaders.select("band", "key", "leader"), "leaders")
-    buckets = written(band.join(leaders, ["band", "key"]).select("band", "key", "id", "leader"), "buckets")
+    held = band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(band.join(held, ["band", "key"]), "shared")
+    mates = written(shared.groupBy("id").agg(F.sum("n").alias("mates")), "mates")
+    leaders = shared.join(mates, "id").groupBy("band", "key").agg(F.max(F.struct("mates", (-F.col("id")).alias("least"))).alias("x"))
+    leaders = written(leaders.select("band", "key", (-F.col("x.least")).alias("leader"), "x.mates"), "leaders")
+    buckets = written(shared.join(leaders, ["band", "key"]).select("band", "key", "id", "leader", "mates"), "buckets")
     removed(leaders)
-    met = buckets.filter("id > leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("times"))
-    best = met.groupBy("id").agg(F.max(F.struct("times", "leader")).alias("m0"), F.max_by("leader", F.xxhash64("leader", "id")).alias("m1"), F.min("leader").alias("m2"))
-    pairs = best.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("m0.leader", "m1", "m2"))).alias("b"))
+    removed(shared)
+    met = buckets.filter("id != leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("times"), F.max("mates").alias("mates"))
+    best = met.groupBy("id").agg(F.max(F.struct("times", "leader")).alias("m0"), F.max(F.struct("mates", "leader")).alias("m1"), F.min("leader").alias("m2"))
+    pairs = best.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("m0.leader", "m1.leader", "m2"))).alias("b"))
     pairs = written(pairs, "pairs")
     sign = classes.select("id", "signature")
     signs = pairs.join(sign.select(F.col("id").alias("a"), F.col("signature").alias("sig_a")), "a")
