@@ -1,0 +1,62 @@
+"""Vehicle activities from raw feed payloads, and captures that are checked against their names.
+
+A payload is one row (``path``, ``content``, ``retrieved_at``); it becomes one row per activity with all fields as the text that
+stands there. Everything is column expressions, so payloads are parsed where they are read. Documents that declare a type or
+entities, or are too large, are refused whole and keep their row with the reason.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from headway.constants import MAX_XML_BYTES
+from headway.operators.quality import bearing
+
+#: Columns and the elements they are read from, the first that is not empty.
+FIELDS = {
+    "recorded_at": ("RecordedAtTime",), "line": ("LineRef",), "direction": ("DirectionRef",), "operator": ("OperatorRef",), "vehicle": ("VehicleRef",),
+    "destination": ("DestinationName",), "origin": ("OriginName",), "aimed_departure": ("OriginAimedDepartureTime",),
+    "journey_ref": ("DatedVehicleJourneyRef", "VehicleJourneyRef"), "latitude": ("Latitude",), "longitude": ("Longitude",), "bearing_raw": ("Bearing",),
+}
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def element(xml: Column, name: str) -> Column:
+    """Trimmed text of the first element of that name; null where there is none."""
+    found = F.regexp_extract_all(xml, F.lit(f"<{name}(?:\\s[^>]*)?>([^<]*)</{name}\\s*>"), F.lit(1))
+    text = F.get(found, F.lit(0))
+    for code, letter in ENTITIES:
+        text = F.replace(text, F.lit(code), F.lit(letter))
+    return F.trim(text)
+
+
+def refusal(content: Column) -> Column:
+    """Why a payload is not parsed at all, or null."""
+    text = content.cast("string")
+    return (
+        F.when(F.length(content) > MAX_XML_BYTES, "too_large")
+        .when(text.contains("<!DOCTYPE") | text.contains("<!ENTITY"), "declares_entities")
+        .when(~F.coalesce(text.contains("<"), F.lit(False)), "malformed")
+    )
+
+
+def activities(payloads: DataFrame) -> DataFrame:
+    """One row per activity of the payloads that are not refused: source_hash, retrieved_at and the text of each field."""
+    plain = F.regexp_replace(F.col("content").cast("string"), r"(</?)[A-Za-z0-9_.-]+:", "$1")  # names without their prefixes
+    each = F.regexp_extract_all(plain, F.lit(r"(?s)<VehicleActivity(?:\s[^>]*)?>.*?</VehicleActivity\s*>"), F.lit(0))
+    rows = payloads.filter(refusal(F.col("content")).isNull())
+    rows = rows.select(F.sha2("content", 256).alias("source_hash"), "retrieved_at", F.explode(each).alias("xml"))
+    first = lambda names: F.coalesce(*[F.nullif(element(F.col("xml"), n), F.lit("")) for n in names])
+    rows = rows.select("source_hash", "retrieved_at", *[first(names).alias(c) for c, names in FIELDS.items()])
+    heading = bearing(F.col("bearing_raw"))
+    return rows.withColumns({"line": F.coalesce("line", F.lit("Unspecified")), "bearing": heading["degrees"], "bearing_status": heading["status"]})
+
+
+def captures(files: DataFrame) -> DataFrame:
+    """Stored payloads with ``state``: corrupt where the digest is not the file's name, malformed, undated without a response time, else ready."""
+    name = F.regexp_extract("path", r"([0-9a-f]{64})[^/]*$", 1)
+    head = F.regexp_replace(F.substring(F.col("content").cast("string"), 1, 4096), r"(</?)[A-Za-z0-9_.-]+:", "$1")
+    at = F.try_to_timestamp(element(head, "ResponseTimestamp"))
+    state = F.when(F.sha2("content", 256) != name, "corrupt").when(refusal(F.col("content")).isNotNull(), "malformed").when(at.isNull(), "undated").otherwise("ready")
+    return files.withColumns({"state": state, "retrieved_at": at})
