@@ -39,3 +39,8 @@ def test_one_change_journeys_of_all_stops(spark, small):
                 want[a, z, c] = min(want.get((a, z, c), (99, 0, 0)), (r1 + r2, p, q))
     got = {(r["origin"], r["alight"], r["change"]): (r["score"], r["first_id"], r["second_id"]) for r in registry.QUERIES["all_one_change_journeys"](spark, small).collect()}
     assert got == want
+
+
+def test_relations_of_all_patterns(spark, small):
+    got = {r["pattern_id"]: r["relation"] for r in registry.QUERIES["all_stop_relations"](spark, small).collect()}
+    assert got == {5: "beyond", 10: "does_not_call", 11: "near", 13: "does_not_call", 17: "approaching", 23: "does_not_call"}
