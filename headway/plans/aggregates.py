@@ -152,6 +152,15 @@ def natural_order(spark, sf_dir):
     return p.orderBy(text.natural_key(F.substring("p_brand", 7, 9))).limit(12)
 
 
+@query(
+    """SELECT p_brand, row_number() OVER (ORDER BY CAST(substring(p_brand, 7) AS INTEGER), p_brand) AS place FROM (SELECT DISTINCT p_brand FROM part)"""
+)
+def natural_places(spark, sf_dir):
+    """Every line name with its place in the numeric-aware order; natural_order has the first twelve. Distinct names are few, so one window ranks them."""
+    p = table(spark, sf_dir, "part").select("p_brand").distinct()
+    return p.withColumn("place", F.row_number().over(W.orderBy(text.natural_key(F.substring("p_brand", 7, 9)), "p_brand")).cast("long"))
+
+
 @query(
     """SELECT event_type, round(median(value), 4) AS median_value, round(quantile_cont(abs(value - 50), 0.8), 4) AS p80_off, count(*) AS n, count(DISTINCT CAST(ts AS DATE)) AS days,
               median(value) BETWEEN 0 AND 60 AND count(*) >= 20 AS verified FROM events GROUP BY 1"""

@@ -44,3 +44,10 @@ def test_one_change_journeys_of_all_stops(spark, small):
 def test_relations_of_all_patterns(spark, small):
     got = {r["pattern_id"]: r["relation"] for r in registry.QUERIES["all_stop_relations"](spark, small).collect()}
     assert got == {5: "beyond", 10: "does_not_call", 11: "near", 13: "does_not_call", 17: "approaching", 23: "does_not_call"}
+
+
+def test_places_of_all_names(spark, tmp_path):
+    names = [f"Brand#{n}" for n in (100, 9, 10, 1, *range(20, 40))]
+    spark.createDataFrame([(n,) for n in names + names[:3]], "p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["p_brand"]: r["place"] for r in registry.QUERIES["natural_places"](spark, str(tmp_path)).collect()}
+    assert got == {n: k + 1 for k, n in enumerate(sorted(names, key=lambda n: int(n[6:])))}
