@@ -10,8 +10,8 @@ Training is piecewise and takes the whole texts of at most ``SAMPLE`` documents
 by the base spans: token factors by multinomial logistic regression, pair and skip factors as smoothed log-ratios of their
 label counts. Token features leave out the exact forms that the patterns test (no full match, no check digit).
 
-An added span is a run of adjacent tokens of one kind, each with a marginal of ``SURE`` or more, that overlaps no base span;
-punctuation at its ends is left out.
+An added span is a run of adjacent tokens of one kind, each with a marginal of ``SURE`` or more; tokens that overlap a base
+span end a run and belong to none; punctuation at its ends is left out.
 
 Defined results: a null text counts as empty and has no spans; spans count code points, end exclusive; the counts are those
 of base spans; rows that repeat are treated alike; an empty table gives an empty result; other columns are not read.
@@ -213,9 +213,10 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Model) -> list[
     out: list[list[Span]] = [[] for _ in texts]
     if not field.spans:
         return out
-    p = model.marginals(field, field.labels(base))
+    known = field.labels(base)
+    p = model.marginals(field, known)
     best = p.argmax(1)
-    best[p.max(1) < SURE] = 0
+    best[(p.max(1) < SURE) | (known > 0)] = 0  # a token of a base span ends a run, so that its neighbours are still added
     adjacent = np.zeros(len(best), bool)
     adjacent[field.chain[:, 1]] = True
     i = 0

@@ -62,6 +62,14 @@ def test_pii_field_labels_alike_tokens_alike(spark):
     assert model.marginals(field, field.labels(base))[1, 4] > model.marginals(alone)[0, 4]
 
 
+def test_pii_neighbours_of_base_spans_are_added():
+    texts = [f"Reach me at +4420794{60000 + k} any time, not at {k} pm. Again: +4420794{60000 + k}" for k in range(200)] + [f"Mail user{k}@mail.example.com about item {k}." for k in range(200)]
+    model = pii.train(texts)
+    text = "Reach me at:\n442079460958\n+442079460958\n442079460958\nany time."
+    first, last = text.index("442079460958"), text.rindex("442079460958")
+    assert pii.added_spans([text], [pii.base_spans(text)], model) == [[(3, first, first + 12), (3, last, last + 12)]]
+
+
 def test_pii_empty(spark):
     assert pii.find(wide(spark, [])).count() == 0
 
