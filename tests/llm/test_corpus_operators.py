@@ -70,6 +70,19 @@ def test_pii_neighbours_of_base_spans_are_added():
     assert pii.added_spans([text], [pii.base_spans(text)], model) == [[(3, first, first + 12), (3, last, last + 12)]]
 
 
+def test_pii_field_reaches_the_last_of_fifty_repeats():
+    field = pii.Field(["1 2 3 4", " or ".join(["2079460958"] * 50), "a 5 b"])
+    assert len(field.skip) == 49
+    model = pii.Model()
+    model.pair["skip"] = np.full((pii.LABELS, pii.LABELS), -4.0) + 8 * np.eye(pii.LABELS)
+    known = np.zeros(len(field.spans), np.int64)
+    known[4] = 4
+    got = model.marginals(field, known)[4:54, 4]
+    step = (np.exp(4) - np.exp(-4)) / (np.exp(4) + 4 * np.exp(-4))  # of a chain, what is left of a label's excess after one edge
+    start = 1 / (1 + 4 * np.exp(-4 * pii.REACH)) - 0.2
+    assert np.allclose(got, 0.2 + start * step ** np.arange(50), atol=0.01) and got[-1] > 0.9
+
+
 def test_pii_empty(spark):
     assert pii.find(wide(spark, [])).count() == 0
 
