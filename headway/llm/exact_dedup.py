@@ -14,6 +14,8 @@ table gives an empty result; columns besides doc_id and text are not read by ``d
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +29,40 @@ def with_digest(docs: DataFrame, name: str = DIGEST) -> DataFrame:
 
 
 class DigestIndex:
-    """A digest index in ``path``. ``buckets`` is fixed when the index is made; by default the session's shuffle partitions."""
+    """A digest index in ``path``. ``buckets`` is fixed when the index is made, by default as the session's shuffle partitions, and kept
+    in the file ``_buckets`` beside its files; reopening takes that count and refuses another. For files without it ``buckets`` must be given.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._kept(buckets)
         self.name = "digest_index_" + "".join(c if c.isalnum() else "_" for c in path.rsplit("/", 1)[-1])
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} ({DIGEST} STRING, keep_id BIGINT) USING parquet "
             f"CLUSTERED BY ({DIGEST}) SORTED BY ({DIGEST}) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _kept(self, asked: int | None) -> int:
+        Path = self.spark._jvm.org.apache.hadoop.fs.Path
+        folder, note = Path(self.path), Path(f"{self.path}/_buckets")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(note):
+            stream = fs.open(note)
+            kept = int(stream.readLine())
+            stream.close()
+            if asked and asked != kept:
+                raise ValueError(f"the index in {self.path} has {kept} buckets, not {asked}")
+            return kept
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        held = [int(m[1]) for m in (re.search(r"^part-.*_([0-9]{5})\.", n) for n in names) if m]
+        if held and (not asked or max(held) >= asked):
+            raise ValueError(f"the index in {self.path} has files of bucket {max(held)} but no bucket count: give the one it was made with")
+        count = asked or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        stream = fs.create(note, False)
+        stream.writeBytes(f"{count}\n")
+        stream.close()
+        return count
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 

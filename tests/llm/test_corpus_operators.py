@@ -280,6 +280,24 @@ def test_exact_dedup_index_lasts(spark):
     assert exact_dedup.kept_documents(wide(spark, []), index).count() == 0
 
 
+def test_exact_dedup_index_keeps_its_bucket_count(spark):
+    path, set_to = scratch_path(spark, "index"), spark.conf.get("spark.sql.shuffle.partitions")
+    data = [(k, f"text {k}", "s") for k in range(60)]
+    index = exact_dedup.DigestIndex(spark, path, 7)
+    assert exact_dedup.kept_documents(wide(spark, data), index).count() == 60
+    try:
+        for partitions in ("3", "11"):
+            spark.sql(f"DROP TABLE {index.name}")  # as in a session whose catalog does not hold it
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            index = exact_dedup.DigestIndex(spark, path)
+            assert index.buckets == 7
+            assert exact_dedup.kept_documents(wide(spark, data), index).count() == 0 and index.rows().count() == 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", set_to)
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, 11)
+
+
 # packing
 
 
