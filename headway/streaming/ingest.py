@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from headway.operators import identity, quality
-from headway.sources.activities import activities
+from headway.sources.activities import parsed, refusals, unpacked
 
 KEYS = ["day", "operator", "vehicle", "line", "direction", "journey_ref", "observed_at"]
 VALUES = ["lat", "lon"]
@@ -44,14 +44,16 @@ class History:
         """Observations that no conflict names."""
         return identity.publishable(self.rows("observations"), self.rows("conflicts"), KEYS)
 
-    def add(self, parsed: DataFrame) -> dict[str, int]:
-        """Load parsed activities; how many identities had which outcome, and how many rows were refused."""
-        judged = quality.validated(parsed).persist()
+    def add(self, activities: DataFrame, payloads: DataFrame | None = None) -> dict[str, int]:
+        """Load parsed activities, and payloads refused whole (source_hash, reason); how many identities had which outcome."""
+        judged = quality.validated(activities).persist()
         text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)  # noqa: E731  identities have no nulls
         good = judged.filter("reason IS NULL").select(F.to_date("observed_at").alias("day"), *[text(c) for c in KEYS[1:-1]], "observed_at", *VALUES)
         found = identity.classify(good, self.rows("observations"), KEYS, VALUES).persist()
         outcomes = {r["outcome"]: r["n"] for r in found.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
         refused = judged.filter("reason IS NOT NULL AND reason <> 'outside_area'")
+        if payloads is not None:
+            refused = refused.unionByName(payloads, allowMissingColumns=True)
         fields = [F.col(c) for c in ("source_hash", "reason", "recorded_at", "vehicle", "latitude", "longitude")]
         refused = refused.select(quality.quarantine_id(*fields).alias("quarantine_id"), "reason", "source_hash", "recorded_at", "vehicle", "latitude", "longitude")
         refused = identity.insert_absent(self.rows("quarantine"), refused.dropDuplicates(["quarantine_id"]), ["quarantine_id"])
@@ -75,7 +77,9 @@ def ingest(stream: DataFrame, history: History, checkpoint: str, seconds: int |
 
     def load(batch: DataFrame, _: int) -> None:
         once = batch.withColumn("digest", F.sha2("content", 256)).dropDuplicates(["digest"]).drop("digest")
-        history.add(activities(once))
+        read = unpacked(once).persist()
+        history.add(parsed(read), refusals(read))
+        read.unpersist()
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()

@@ -1,8 +1,10 @@
 """Payloads to activities, captures, the stop register, and the stream into the history."""
 
 import hashlib
+import io
 import os
 import time
+import zipfile
 
 from pyspark.sql import functions as F
 
@@ -73,3 +75,27 @@ def test_stream_into_history(spark, tmp_path):
     assert run("5.xml", activity("V4", at=late)) == (4, 2, 3, 3)
     again = spark.createDataFrame([("z", bytearray(payload(activity("V4", at=late))))], "path string, content binary").withColumn("retrieved_at", F.current_timestamp())
     assert history.add(A.activities(again)) == {"repeat": 1}
+
+
+def zipped(**members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in members.items():
+            z.writestr(name.replace("_", "."), body)
+    return out.getvalue()
+
+
+def test_stream_keeps_refused_payloads_and_unpacks_archives(spark, tmp_path):
+    folder, history = tmp_path / "in", History(spark, str(tmp_path / "history"))
+    os.makedirs(folder)
+    good = payload(activity("V1"))
+    refused = {b"<!DOCTYPE x>" + good: "declares_entities", payload(activity("V2"))[:-7]: "malformed", b"nothing": "malformed", b"PK broken": "malformed"}
+    refused |= {zipped(a_txt=b"no XML"): "malformed", zipped(a_xml=payload(activity("V3")), b_xml=b"<Siri>"): "malformed"}
+    for k, body in enumerate([*refused, good, zipped(a_xml=payload(activity("V4")), b_XML=payload(activity("V5")), c_txt=b"x")]):
+        (folder / f"{k}").write_bytes(body)
+    for checkpoint in ("c1", "c2"):  # the second load finds its rows there
+        ingest(payload_stream(spark, str(folder)), history, str(tmp_path / checkpoint)).awaitTermination()
+        assert sorted(r["vehicle"] for r in history.rows("observations").collect()) == ["V1", "V4", "V5"]
+        got = {r["source_hash"]: r["reason"] for r in history.rows("quarantine").collect()}
+        assert got == {hashlib.sha256(body).hexdigest(): reason for body, reason in refused.items()}
+        assert history.rows("quarantine").count() == len(refused)
