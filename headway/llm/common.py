@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word, by the contracts: a run of anything but ASCII white space (``bytes.split()`` gives the same words).
@@ -50,13 +51,20 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key, always the same: that whose text is first, by code point, then that whose columns hash lowest."""
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    order = [F.col("text").asc_nulls_first(), F.xxhash64(*hashed)]
+    return df.withColumn("__place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__place = 1").drop("__place")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII texts take the fast built-in, which does the same for them."""
     t = F.coalesce(text, F.lit(""))
     return F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
 
 
-def portions(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def portions(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes, one text at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
     start = 0
@@ -81,7 +89,7 @@ def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound and then begun anew."""
 
-    BOUND = 400_000
+    BOUND = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.BOUND:

@@ -7,11 +7,14 @@
 3. A bucket's leader is the class that has the most companions over all its buckets, so the text from which many copies
    were made leads them. Each class is paired with up to three leaders of its buckets; pairs whose signatures agree
    enough are confirmed on the full sets of both texts, and confirmed links are joined to components.
-4. Then every bucket that still holds several components is compared in tiles: each member outside the bucket's largest
-   component against all members of other components, by signatures, a tile of at most about ``TILE`` x ``TILE`` at a time.
-   First each member's best partner in another component is confirmed, then whatever is still between different components.
-   So no pair that shares a bucket and could join two components goes unseen, while pairs within a component, which
-   cannot change the result, are never formed.
+4. Every bucket that still holds several components is compared in tiles. Its members are dealt by size class first (linked sets
+   differ in size by a third at most, so they are in the same or in neighbouring classes); then each member outside the
+   bucket's largest component meets all members of other components, a tile of about ``TILE`` x ``TILE`` of them at a time,
+   smaller where the sets are large. A first pass over the tiles keeps the members that agree enough with one of another
+   component, by signatures. Only for these are the full sets brought into the tile, where links are confirmed and components
+   united; a tile puts out the links that unite components, fewer than it has members.
+   So no pair that shares a bucket and could join two components goes unseen, while what is written and sent grows with
+   members, not with pairs.
 5. Components come from alternating large-star and small-star steps until nothing changes.
 
 The signature test keeps pairs that agree in at least ``AGREE`` of the minima; a pair of similarity 0.75 fails it with a
@@ -33,12 +36,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.common import Rolling, WordHashes, mix64, portions, removed, written
+from headway.llm.common import Rolling, WordHashes, first_rows, mix64, portions, removed, written
 
 SHINGLE, HASHES, ROWS = 5, 160, 4
 BANDS = HASHES // ROWS
 AGREE = 0.57 * HASHES
-TILE, TILED = 1024, ("band", "key", "piece", "part")
+#: Members of a tile's side, and the shingles they may have together; the step of size classes, a little over 4 / 3.
+TILE, TILE_SHINGLES, SIZE_STEP = 512, 1 << 19, 1.34
+TILED = ("band", "key", "slot", "piece", "part")
+#: What a row of a tile is: a member of the bucket's largest component, another member, or a query.
+MAIN, OTHER, QUERY = 0, 1, 2
 
 _rng = np.random.default_rng(0x5EED)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,68 +147,138 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _tiles(best: bool):
-    """Rows sorted by tile to pairs of a tile's queries and members that belong to different components and agree enough: all, or each query's best."""
-
-    def pairs(rows: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
-        signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
-        query, ids, comps = (rows.column(c).to_numpy() for c in ("query", "id", "component"))
-        out: list[list[np.ndarray]] = [[], [], []]
-        for start, end in zip(begin, [*begin[1:], len(ids)], strict=True):
-            asked, member = (start + np.flatnonzero(x) for x in (query[start:end], ~query[start:end]))
-            step = max(1, 8_000_000 // (max(1, len(member)) * HASHES))
-            for part in (asked[k : k + step] for k in range(0, len(asked) if len(member) else 0, step)):
-                agree = np.add.reduce((signs[part][:, None] == signs[member][None]).view(np.uint8), axis=2, dtype=np.uint8)
-                x, y = np.nonzero((agree >= AGREE) & (comps[part][:, None] != comps[member][None]))
-                if best and len(x):
-                    order = np.lexsort((ids[member[y]], -agree[x, y].astype(np.int64), x))
-                    order = order[np.unique(x[order], return_index=True)[1]]
-                    x, y = x[order], y[order]
-                for column, values in zip(out, (ids[part[x]], ids[member[y]], agree[x, y].astype(np.int64)), strict=True):
-                    column.append(values)
-        arrays = [pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in out]
-        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "agree"])
+def _by_tile(compare):
+    """Rows sorted by tile, whole tiles at a time, through ``compare``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
             if not len(rows):
                 continue
             keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in TILED])
             begin = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+            for start, end in zip(begin[:-1], begin[1:], strict=True):
+                yield from compare(rows.slice(start, end - start).combine_chunks())
             rest = rows.slice(begin[-1])
-            if len(begin) > 1:
-                yield pairs(rows.slice(0, begin[-1]), begin[:-1])
         if rest is not None:
-            yield pairs(rest, np.zeros(1, np.int64))
+            yield from compare(rest.combine_chunks())
 
     return of
 
 
-def across(buckets: DataFrame, classes: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may be similar."""
-    rows = buckets.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rows = written(rows.select("band", "key", "id", "component"), "members")
-    per = rows.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("most"))
-    mixed = written(mixed.filter("parts > 1").select("band", "key", "members", F.col("most.n").alias("main_n"), F.col("most.component").alias("main")), "mixed")
-    rows = rows.join(mixed, ["band", "key"])
-    pieces = F.ceil(F.col("members") / TILE).cast("int")
-    parts = F.ceil((F.col("members") - F.col("main_n")) / TILE).cast("int")
-    rows = rows.withColumns({"pieces": pieces, "parts": parts, "is_query": F.col("component") != F.col("main")})
+def _likely(tile: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of queries and of members of other components that agree enough and are near in size, and in how many minima."""
+    signs = np.frombuffer(b"".join(tile.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
+    kind, ids, comps, size = (tile.column(c).to_numpy() for c in ("kind", "id", "component", "n_shingles"))
+    asked, member = np.flatnonzero(kind == QUERY), np.flatnonzero(kind != QUERY)
+    step = max(1, 8_000_000 // (max(1, len(member)) * HASHES))
+    for part in (asked[k : k + step] for k in range(0, len(asked) if len(member) else 0, step)):
+        agree = np.add.reduce((signs[part][:, None] == signs[member][None]).view(np.uint8), axis=2, dtype=np.uint8)
+        fits = (agree >= AGREE) & (comps[part][:, None] != comps[member][None])
+        fits &= 100 * np.minimum(size[part][:, None], size[member][None]) >= 75 * np.maximum(size[part][:, None], size[member][None])
+        fits &= (kind[member] == MAIN)[None] | (ids[part][:, None] > ids[member][None])  # two queries meet once
+        x, y = np.nonzero(fits)
+        yield part[x], member[y], agree[x, y]
+
+
+def _involved(tile: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The tile's rows that may be linked with another of its rows."""
+    found = np.zeros(len(tile), bool)
+    for x, y, _ in _likely(tile):
+        found[x] = found[y] = True
+    yield from tile.filter(pa.array(found)).to_batches()
+
+
+def _united(tile: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Confirmed links (a, b) that unite the components of a tile: no more than it has components, less one."""
+    sets = [np.frombuffer(b, np.uint64) for b in tile.column("shingles").to_pylist()]
+    ids, comps = (tile.column(c).to_numpy() for c in ("id", "component"))
+    above: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in above:
+            if above[c] in above:
+                above[c] = above[above[c]]
+            c = above[c]
+        return c
+
+    out: tuple[list[int], list[int]] = ([], [])
+    for x, y, agree in _likely(tile):
+        order = np.lexsort((-agree.astype(np.int64), x))
+        x, y = x[order], y[order]
+        for one, start, end in _runs(x):
+            others = y[start:end]
+            while len(others):
+                own = root(int(comps[one]))
+                others = others[[root(int(c)) != own for c in comps[others]]]
+                now, others = others[:16], others[16:]
+                if not len(now):
+                    break
+                many = [sets[k] for k in now]
+                flat, size = np.concatenate(many), np.array([len(m) for m in many])
+                at = np.minimum(np.searchsorted(sets[one], flat), len(sets[one]) - 1)
+                both = np.add.reduceat((sets[one][at] == flat).astype(np.int64), np.cumsum(size) - size)
+                for other in now[100 * both >= 75 * (len(sets[one]) + size - both)]:
+                    p, q = root(int(comps[one])), root(int(comps[other]))
+                    if p != q:
+                        above[max(p, q)] = min(p, q)
+                        out[0].append(int(max(ids[one], ids[other])))
+                        out[1].append(int(min(ids[one], ids[other])))
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of every run of equal values."""
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    for start, end in zip(begin, np.append(begin[1:], len(x)), strict=True):
+        yield int(x[start]), int(start), int(end)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in portions(batch.column(1)):
+            h, ends = shingles(batch.column(1).slice(a, b - a))
+            own = pa.array([np.unique(h[s:e]).tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), own], names=["id", "shingles"])
+
+
+def across(buckets: DataFrame, classes: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that unite all components of which two members share a bucket and are similar enough."""
+    sized = classes.select("id", "n_shingles")
+    rows = buckets.select("band", "key", "id").join(sized, "id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
+    rows = written(rows.select("band", "key", "id", "component", "n_shingles"), "members")
+    several = rows.groupBy("band", "key").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed").select("band", "key")
+    rows = rows.join(several, ["band", "key"], "left_semi").withColumn("slot", F.explode(F.array(size_class, size_class + 1)))
+    dealt = written(rows, "slots")
+    per = dealt.groupBy("band", "key", "slot", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("long"))
+    mixed = per.groupBy("band", "key", "slot").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), F.sum("long").alias("shingles"), F.max(F.struct("n", "component", "long")).alias("most")
+    )
+    sides = lambda n, long: F.greatest(F.ceil(n / TILE), F.ceil(long / TILE_SHINGLES)).cast("int")
+    pieces, parts = sides(F.col("members"), F.col("shingles")), sides(F.col("members") - F.col("most.n"), F.col("shingles") - F.col("most.long"))
+    mixed = mixed.filter("parts > 1").select("band", "key", "slot", F.col("most.component").alias("main"), pieces.alias("pieces"), parts.alias("parts"))
+    rows = written(dealt.join(mixed, ["band", "key", "slot"]), "mixed")
     piece = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
     part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
-    members = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"piece": piece, "query": F.lit(False)})
-    queries = rows.filter("is_query").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns({"part": part, "query": F.lit(True)})
-    names = ("band", "key", "piece", "part", "query", "id", "component")
+    outside = F.col("component") != F.col("main")
+    members = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = members.withColumns({"piece": piece, "kind": F.when(outside, F.lit(OTHER)).otherwise(F.lit(MAIN))})
+    queries = rows.filter(outside).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    queries = queries.withColumns({"part": part, "kind": F.lit(QUERY)})
+    names = (*TILED, "kind", "id", "component", "n_shingles")
     both = written(members.select(*names).unionByName(queries.select(*names)), "tiles")
-    signed = both.join(classes.select("id", "signature"), "id")
-    dealt = signed.select(*TILED, "query", "id", "component", "signature").repartition(*TILED).sortWithinPartitions(*TILED)
-    found = dealt.mapInArrow(_tiles(best), "a long, b long, agree long")
-    if best:
-        found = found.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
-    return written(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "across")
+    signed = both.join(classes.select("id", "signature"), "id").select(*names, "signature")
+    kinds = "band int, key long, slot int, piece int, part int, kind int, id long, component long, n_shingles long, signature binary"
+    involved = signed.repartition(*TILED).sortWithinPartitions(*TILED).mapInArrow(_by_tile(_involved), kinds)
+    involved = written(involved, "involved")
+    for done in (dealt, rows, both):
+        removed(done)
+    sets = written(texts.join(involved.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, shingles binary"), "sets")
+    full = involved.join(sets, "id").select(*names, "signature", "shingles")
+    found = full.repartition(*TILED).sortWithinPartitions(*TILED).mapInArrow(_by_tile(_united), "a long, b long")
+    return written(found.distinct(), "across")
 
 
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +288,7 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = written(full.groupBy("low", "high").agg(F.min("doc_id").alias("id")), "classes")
     # one row per class: that of the smallest doc_id (rows that repeat it carry the same set)
     first = full.join(named, (full["doc_id"] == named["id"]) & (full["low"] == named["low"]) & (full["high"] == named["high"]), "left_semi")
-    classes = written(first.select(F.col("doc_id").alias("id"), "signature", "bands"), "reps")
+    classes = written(first.select(F.col("doc_id").alias("id"), "n_shingles", "signature", "bands"), "reps")
     band = classes.select("id", F.posexplode("bands").alias("band", "key"))
     held = band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(band.join(held, ["band", "key"]), "shared")
@@ -234,12 +311,9 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = written(texts, "texts")
     links = confirm(likely, texts)
     comps = written(components(links), "components")
-    for best_only in (True, False):
-        pairs = across(buckets, classes, comps, best_only)
-        if pairs.isEmpty():
-            break
-        links = written(links.unionByName(confirm(pairs, texts)), "links")
-        comps = written(components(links), "components")
+    more = across(buckets, classes, comps, texts)
+    if not more.isEmpty():
+        comps = written(components(links.unionByName(more)), "components")
     rows = signed.select("doc_id", "n_shingles", "low", "high")
     rows = rows.join(named, ["low", "high"], "left").withColumn("id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("id")).otherwise(F.col("doc_id")))
     rows = written(rows.select("doc_id", "n_shingles", "id"), "rows")
@@ -256,7 +330,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one per component and all without doc_id, with all their columns."""
     stay = written(decisions(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
     rows = docs.join(stay, docs["doc_id"] == stay["__kept_id"], "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    return first_rows(rows, ["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -411,6 +411,48 @@ def test_near_dedup_chains(spark):
     assert got == [(100 + i, 100) for i in range(12)]
 
 
+def family(rng, n, changed):
+    """Texts that each differ from one original in some words, so their similarities lie on both sides of the limit."""
+    first = [f"w{rng.integers(5000)}" for _ in range(120)]
+    out = []
+    for _ in range(n):
+        words = list(first)
+        for k in rng.integers(0, len(words), int(rng.integers(1, changed))):
+            words[k] = f"x{rng.integers(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("tile, shingles", [(512, 1 << 19), (16, 1 << 19), (512, 1000)])
+def test_near_dedup_of_families_in_small_tiles(spark, monkeypatch, tile, shingles):
+    """Many texts of similarity 0.5 to 1 in the same buckets, whole families in one tile and spread over many."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "TILE_SHINGLES", shingles)
+    rng = np.random.default_rng(8)
+    data = [(1000 - k, t, "s") for k, t in enumerate(family(rng, 130, 9) + family(rng, 60, 5) + family(rng, 30, 14))]
+    want = brute.near([(i, t) for i, t, _ in data])
+    got = rows(near_dedup.decisions(wide(spark, data)), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(((i, n, c) for i, (n, c) in want.items()), key=repr)
+    assert 10 < len({c for _, _, c in got}) < 200
+
+
+def test_tiles_put_out_fewer_links_than_members():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = pa.array(family(rng, 80, 9))
+    signed = next(near_dedup._signatures(iter([pa.record_batch([pa.array(range(80)), texts], names=["doc_id", "text"])])))
+    sets = next(near_dedup._sets(iter([pa.record_batch([pa.array(range(80)), texts], names=["id", "text"])])))
+    both = [pa.array([k] * 80, pa.int32()) for k in (near_dedup.OTHER, near_dedup.QUERY)]
+    shared = {"id": pa.array(range(80)), "component": pa.array(range(80)), "n_shingles": signed["n_shingles"], "signature": signed["signature"], "shingles": sets["shingles"]}
+    tile = pa.concat_tables([pa.table({"kind": kind} | shared) for kind in both]).combine_chunks()
+    (links,) = near_dedup._united(tile)
+    links = list(zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True))
+    component = {i: c for i, (_, c) in brute.near(list(enumerate(texts.to_pylist()))).items()}
+    assert len(links) == 80 - len(set(component.values())) and all(component[a] == component[b] for a, b in links)
+    assert len({x for pair in links for x in pair}) > 20
+
+
 def test_near_dedup_odd_ids(spark, odd_rows):
     df = wide(spark, odd_rows)
     out = rows(near_dedup.decisions(df), "doc_id", "component_id", "kept")
