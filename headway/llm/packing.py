@@ -3,7 +3,9 @@
 Documents become tokens and, beyond the sequence length, pieces. Only the histogram of piece lengths, at most ``LENGTH``
 counts, goes to the driver. There patterns of one to three lengths (in steps of ``STEP`` tokens) that fill a sequence are
 enumerated, non-negative least squares fits how often each is used to the histogram, the counts are rounded down, and the
-remaining pieces are packed best-fit into what space is left, longest first. The plan says for the k-th piece of a length
+remaining pieces are packed best-fit into what space is left, longest first. Steps are coarser than lengths, so patterns
+leave gaps; a share of the shortest pieces is left out of the fit to fill them, and of several shares that with the fewest
+sequences is taken. The plan says for the k-th piece of a length
 which sequence and offset it gets, so its size depends on the number of lengths, not of documents. Pieces are ranked within
 their length by counting in salted groups, so no length has to fit into one task.
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from headway.llm.common import portions, written
 
 LENGTH, STEP, END = 2048, 32, 0
+#: Shares of all tokens, in the shortest pieces, that a fit leaves out for filling.
+RESERVES = (0.0, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,14 +43,15 @@ def byte_letters() -> dict[int, str]:
 
 
 class ChunkIds(dict):
-    """Token ids, as little-endian bytes, of the parts of a text between ASCII white space; remembered up to a bound.
+    """Token ids, as little-endian bytes, of the parts of a text between ASCII white space; remembered up to a bound of their characters.
 
     The tokenizer's own pre-tokenizer ends every token at white space and its normaliser works within such parts, so a
     text's ids are those of its parts, one after the other. A final punctuation mark after a letter is a token of its own,
     and a part of plain lower-case letters is one word of the model; all other parts take the whole tokenizer.
     """
 
-    BOUND = 1_200_000
+    #: Characters of the parts that are remembered, each counted with ``OWN`` more: some tens of MB.
+    BOUND, OWN = 12_000_000, 100
     MARKS = ".,!?;:"
 
     def __init__(self, path: str):
@@ -57,6 +62,11 @@ class ChunkIds(dict):
         self.letters = byte_letters()
         self.ends = {c: self.encode(c) for c in self.MARKS}
         self.four = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
         self[""] = b""
 
     def encode(self, text: str) -> bytes:
@@ -80,10 +90,11 @@ class ChunkIds(dict):
                 ids = b"".join([self.four[t.id] for t in self.tokenizer.model.tokenize(shown)])
         else:
             ids = self.encode(part)
-        if len(self) >= self.BOUND:
-            self.clear()
-            self[""] = b""
-        self[part] = ids
+        self.held += len(part) + self.OWN
+        if self.held > self.BOUND:
+            self.forget()
+        if len(part) < self.BOUND // 100:
+            self[part] = ids
         return ids
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +106,8 @@ class ChunkIds(dict):
         starts, at = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
         ids, each = np.frombuffer(b"".join(known), "<u4"), sizes[at]
         ends = np.concatenate([[0], np.cumsum(each)])
-        places = np.repeat(starts[at] - ends[:-1], each)
-        places += np.arange(len(places))
+        places = np.repeat((starts[at] - ends[:-1]).astype(np.int32), each)
+        places += np.arange(len(places), dtype=np.int32)
         offsets = parts.offsets.to_numpy()
         return ids[places], ends[offsets - offsets[0]]
 
@@ -112,8 +123,9 @@ def _pieces(tokenizer: str, length: int):
         end = np.array([END], "<u4").tobytes()
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        known.forget()  # a worker that has been used before keeps nothing
         for batch in batches:
-            for a, b in portions(batch.column(1), 16_000_000):
+            for a, b in portions(batch.column(1)):
                 out: list[list] = [[], [], [], [], []]
                 ids, begins = known.of(batch.column(1).slice(a, b - a))
                 for k, doc in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
@@ -166,7 +178,22 @@ def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, tolerance: float = 1
 
 
 def plan(histogram: dict[int, int], length: int = LENGTH, step: int = STEP) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Sequences that hold every piece: (how many sequences, [(length, pieces of it in each)])."""
+    """Sequences that hold every piece: (how many sequences, [(length, pieces of it in each)]).
+
+    Fitted once for every share of ``RESERVES``; the plan with the fewest sequences is taken, the first one that meets the bound by volume at once.
+    """
+    least = -(-sum(n * count for n, count in histogram.items()) // length)
+    best: list[tuple[int, list[tuple[int, int]]]] | None = None
+    for reserve in RESERVES:
+        made = _plan(histogram, reserve, length, step)
+        if best is None or sum(count for count, _ in made) < sum(count for count, _ in best):
+            best = made
+        if sum(count for count, _ in best) <= least:
+            break
+    return best or []
+
+
+def _plan(histogram: dict[int, int], reserve: float, length: int, step: int) -> list[tuple[int, list[tuple[int, int]]]]:
     left = np.zeros(length + 1, np.int64)
     for n, count in histogram.items():
         left[n] = count
@@ -174,6 +201,10 @@ def plan(histogram: dict[int, int], length: int = LENGTH, step: int = STEP) -> l
     if left[length]:
         groups.append((int(left[length]), [(length, 1)]))
         left[length] = 0
+    # the shortest pieces, together the reserved share of all tokens, fill what space the patterns leave
+    upto = np.cumsum(left * np.arange(length + 1))
+    short = upto <= reserve * upto[-1]
+    kept, left = np.where(short, left, 0), np.where(short, 0, left)
     bins = length // step
     supply = np.zeros(bins + 1)
     np.add.at(supply, -(-np.arange(length + 1) // step), left)
@@ -194,8 +225,12 @@ def plan(histogram: dict[int, int], length: int = LENGTH, step: int = STEP) -> l
             taken = left.copy()
             items: list[tuple[int, int]] = []
             count = int(use)
-            for s in sorted(shape, reverse=True):
-                n = next((n for n in range(s * step, (s - 1) * step, -1) if taken[n] > 0), 0)
+            space = length
+            for k, s in enumerate(sorted(shape, reverse=True), 1):
+                # the last place takes the longest piece that fits, so that the sequence is as full as it can be
+                most = space if k == len(shape) else s * step
+                n = next((n for n in range(most, (s - 1) * step, -1) if taken[n] > 0), 0)
+                space -= n
                 if not n:
                     break
                 taken[n] -= 1
@@ -210,6 +245,7 @@ def plan(histogram: dict[int, int], length: int = LENGTH, step: int = STEP) -> l
                 left[n] -= m * count
             add(count, sorted(merged.items(), reverse=True))
             use -= count
+    left += kept
     for n in range(length, 0, -1):
         while left[n]:
             fits = [space for space in room if space >= n]
@@ -273,7 +309,7 @@ def ranked(cut: DataFrame) -> DataFrame:
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     starts = written(counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "starts")
     within = F.row_number().over(W.partitionBy("salt", "length").orderBy("doc_id", "piece")) - 1
-    return salted.withColumn("within", within).join(starts, ["length", "salt"]).withColumn("rank", (F.col("first") + F.col("within")).cast("long"))
+    return salted.withColumn("within", within).join(starts.hint("merge"), ["length", "salt"]).withColumn("rank", (F.col("first") + F.col("within")).cast("long"))
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:

@@ -1,5 +1,6 @@
 """What the contracts say, written as plainly as can be, for tables that fit into one process."""
 
+import bisect
 import hashlib
 import re
 import struct
@@ -104,6 +105,20 @@ def pieces(rows, tokenizer, length):
     return sorted(out)
 
 
+def best_fit_decreasing(lengths, length):
+    """How many sequences the pieces take, each put where it leaves the least space, longest first."""
+    spaces, n = [], 0
+    for piece in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(spaces, piece)
+        if k == len(spaces):
+            n += 1
+            space = length - piece
+        else:
+            space = spaces.pop(k) - piece
+        bisect.insort(spaces, space)
+    return n
+
+
 def targets(sizes, weights=(5, 2, 1), most=3):
     """{source: target} from {source: size}: shares by weight, the excess of full sources given to the others until none is above."""
     order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]

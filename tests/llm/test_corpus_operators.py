@@ -327,7 +327,7 @@ def check_places(out, length=packing.LENGTH):
         assert at <= length
     total = sum(r["length"] for r in out)
     if total > 50 * length:
-        assert len(held) <= 1.02 * total / length + 1
+        assert len(held) <= brute.best_fit_decreasing([r["length"] for r in out], length)
     return len(held)
 
 
@@ -349,8 +349,7 @@ def test_plan_holds_every_piece(seed):
             used[n] += count * m
     assert used == Counter(histogram)
     sequences = sum(c for c, _ in packing.plan(histogram))
-    big = sum(lengths > 1024)
-    assert sequences <= 1.03 * max(lengths.sum() / packing.LENGTH, big) + 2
+    assert sequences <= brute.best_fit_decreasing(lengths.tolist(), packing.LENGTH)
 
 
 # toxicity
