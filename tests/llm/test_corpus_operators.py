@@ -280,6 +280,31 @@ def test_exact_dedup_index_lasts(spark):
     assert exact_dedup.kept_documents(wide(spark, []), index).count() == 0
 
 
+def test_exact_dedup_rerun_of_a_batch_loses_nothing(spark):
+    """A driver that stops after the append and before its documents are written runs the batch again."""
+    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index"))
+    exact_dedup.kept_documents(wide(spark, [(1, "old", "s")]), index, "monday").collect()
+    data = wide(spark, [(2, "OLD", "s"), (3, "a", "s"), (4, "A", "s"), (5, "b", "s")])
+    exact_dedup.kept_documents(data, index, "tuesday")  # its rows are never written
+    again = exact_dedup.kept_documents(data, index, "tuesday")
+    assert rows(again, "doc_id", "text") == [(4, "A"), (5, "b")]
+    assert rows(exact_dedup.decisions(data, index, "tuesday"), "doc_id", "keep_id", "kept") == [(2, 1, False), (3, 4, False), (4, 4, True), (5, 5, True)]
+    assert rows(exact_dedup.kept_documents(data, index, "wednesday"), "doc_id") == [] and index.rows().count() == 3
+
+
+def test_exact_dedup_indexes_of_one_folder_name_and_compaction(spark):
+    one, two = (exact_dedup.DigestIndex(spark, f"{scratch_path(spark, 'parent')}/index") for _ in range(2))
+    for k in range(4):
+        exact_dedup.kept_documents(wide(spark, [(k, f"text {k}", "s"), (9, "shared", "s")]), one)
+    assert rows(exact_dedup.kept_documents(wide(spark, [(7, "text 0", "s")]), two), "doc_id") == [(7,)]
+    small = one.compacted(scratch_path(spark, "compacted"))
+    assert rows(small.rows(), "text_sha256", "keep_id", "batch") == rows(one.rows(), "text_sha256", "keep_id", "batch")
+    assert len(small.rows().inputFiles()) <= small.buckets < len(one.rows().inputFiles()) + small.buckets
+    assert exact_dedup.kept_documents(wide(spark, [(50, "TEXT 3", "s")]), small).count() == 0
+    small.forget()
+    assert not spark.catalog.tableExists(small.name)
+
+
 def test_exact_dedup_index_keeps_its_bucket_count(spark):
     path, set_to = scratch_path(spark, "index"), spark.conf.get("spark.sql.shuffle.partitions")
     data = [(k, f"text {k}", "s") for k in range(60)]
