@@ -36,10 +36,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/headway/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage ends here and lost executors cost no recomputation."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -86,6 +86,24 @@ def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, at[full], before[offsets - offsets[0]]
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def platt(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """(a, b) so that sigmoid(a * logit + b) is calibrated: Newton steps on smoothed targets; few rows leave the logit as it is."""
+    weights = np.ones(len(labels)) if weights is None else weights
+    n1, n0 = int(labels.sum()), int((1 - labels).sum())
+    goal = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x = np.stack([logits.astype(np.float64), np.ones(len(logits))], axis=1)
+    ab, toward, pull = np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.diag([1.0, 0.05])
+    for _ in range(50):
+        p = sigmoid(x @ ab)
+        h = (x * (weights * p * (1 - p))[:, None]).T @ x + pull
+        ab = ab - np.clip(np.linalg.solve(h, x.T @ (weights * (p - goal)) + pull @ (ab - toward)), -0.5, 0.5)
+    return max(float(ab[0]), 0.1), float(ab[1])
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound and then begun anew."""
 

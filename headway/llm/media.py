@@ -2,13 +2,16 @@
 
 ``decode`` reads plain and raw PBM, PGM and PPM (8-bit samples) and uncompressed BMP of 8, 24 and 32 bits. ``resize`` takes
 the exact mean of each target cell from the image's integral (summed-area table), with partial pixels at cell edges
-weighted by area. A difference hash compares neighbours of a 9 x 8 grey tile. ``describe`` works row by row inside the tasks.
+weighted by area. A difference hash compares neighbours of a 9 x 8 grey tile. ``describe`` works row by row inside the tasks,
+and ``tiles_written`` keeps its NPY tiles as a table of one file's bytes per row.
 
-For documents, ``store`` writes a text's bytes losslessly as the samples of a raw PGM image of 576 columns.
+For documents, ``store`` writes a text's bytes losslessly as the samples of a raw PGM image of 576 columns. The images and
+their NPY tiles are written as a table in the shared folder; digests and features come from what is read back.
 
-Defined results: a null text counts as empty; an empty one is one row of samples of 255; images that cannot be read give
-null columns with the reason in ``error``; rows that repeat are treated alike; an empty table gives an empty result; columns
-besides the id and the content are not read.
+Defined results: a null text counts as empty; an empty one is one row of samples of 255; images that cannot be read (also
+those without pixels, with samples above their maximum, or with fewer bytes than their header asks for) give null columns
+with the reason in ``error``; rows that repeat are treated alike; an empty table gives an empty result; columns besides the
+id and the content are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from headway.llm.common import written
+
 UNIT, FILL, TAIL = 576, 255, 32
 TILE = 32
 
@@ -31,13 +36,17 @@ TILE = 32
 def _header(data: bytes, fields: int) -> tuple[list[int], int]:
     """The numbers of a Netpbm header after its magic, comments skipped, and where the samples begin."""
     numbers, at = [], 2
-    token = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)")
+    token = re.compile(rb"(?:\s|#[^\n]*\n)*(\d{1,9})(?!\d)")
     for _ in range(fields):
         m = token.match(data, at)
         if not m:
             raise ValueError("header")
         numbers.append(int(m[1]))
         at = m.end()
+    if not all(numbers):
+        raise ValueError("no pixels")
+    if numbers[0] * numbers[1] > 8 * len(data):
+        raise ValueError("fewer bytes than pixels")
     return numbers, at + 1
 
 
@@ -61,11 +70,12 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("depth")
     n = width * height * depth
     if kind in (b"P2", b"P3"):
-        flat = np.array(re.sub(rb"#[^\n]*\n", b"\n", data[at - 1 :]).split()[:n], np.uint8)
+        flat = np.array([int(x[:4]) for x in re.sub(rb"#[^\n]*\n", b"\n", data[at - 1 :]).split()[:n]], np.int64)
     else:
         flat = np.frombuffer(data, np.uint8, n, at)
-    if most != 255:
-        flat = (flat.astype(np.uint32) * 255 // most).astype(np.uint8)
+    if len(flat) and not 0 <= flat.min() <= flat.max() <= most:
+        raise ValueError("sample above the maximum")
+    flat = (flat.astype(np.uint32) * 255 // most).astype(np.uint8) if most != 255 else flat.astype(np.uint8)
     return flat.reshape((height, width) if depth == 1 else (height, width, 3))
 
 
@@ -76,6 +86,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     bits, packed = struct.unpack_from("<H", data, 28)[0], struct.unpack_from("<I", data, 30)[0]
     if packed or bits not in (8, 24, 32) or width <= 0 or not height:
         raise ValueError("bmp")
+    if width * abs(height) > len(data):
+        raise ValueError("fewer bytes than pixels")
     row = (width * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)[:, : width * bits // 8]
     rows = rows[::-1] if height > 0 else rows
@@ -153,7 +165,7 @@ def describe(images: DataFrame, key: str, content: str, tile: int = TILE) -> Dat
                 try:
                     image = grey(decode(data or b""))
                     row = (*image.shape, npy(resize(image, tile, tile)), difference_hash(image), None)
-                except (ValueError, struct.error, IndexError) as why:
+                except (ValueError, OverflowError, struct.error, IndexError) as why:
                     row = (None, None, None, None, str(why) or "unreadable")
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
@@ -165,6 +177,15 @@ def describe(images: DataFrame, key: str, content: str, tile: int = TILE) -> Dat
     return images.select(key, content).mapInArrow(of, f"{key} {kind}, height int, width int, tile binary, feature string, error string")
 
 
+def tiles_written(images: DataFrame, key: str, content: str, tile: int = TILE) -> DataFrame:
+    """``describe``, its tiles written as a table in the shared folder."""
+    return written(describe(images, key, content, tile), "tiles", "zstd")
+
+
+def tile_array(data: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(data), allow_pickle=False)
+
+
 def store(text: str | None) -> tuple[int, bytes]:
     """The text's size in bytes, and its padded bytes as a raw PGM image."""
     data = (text or "").encode()
@@ -172,26 +193,44 @@ def store(text: str | None) -> tuple[int, bytes]:
     return len(data), encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, UNIT))
 
 
-NAMES = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256")
-KINDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, len(batch), 256):
+            part = batch.slice(k, 256)
+            sizes, images = zip(*(store(text.as_py()) for text in part.column(1)), strict=True)
+            tiles = [npy(resize(decode(image), TILE, TILE)) for image in images]
+            arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(images, pa.binary()), pa.array(tiles, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "media", "tile"])
+
+
+NAMES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256", "tile_mean")
+KINDS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string, tile_mean double"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in NAMES]
-        for text in batch.column(1):
-            size, stored = store(text.as_py())
-            image = decode(stored)
+        for stored, tile in zip(batch.column("media"), batch.column("tile"), strict=True):
+            data, small = stored.as_py(), tile.as_py()
+            image = decode(data)
             payload = image.tobytes()
-            tile = npy(resize(image, TILE, TILE))
-            row = (size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(image), hashlib.sha256(tile).hexdigest())
+            row = (
+                len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(data), hashlib.sha256(data).hexdigest(),
+                difference_hash(image), hashlib.sha256(small).hexdigest(), float(tile_array(small).mean()),
+            )
             for column, value in zip(out, row, strict=True):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in out)], names=["doc_id", *NAMES])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c) for c in out)], names=["doc_id", "n_bytes", *NAMES])
+
+
+def stored_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, the text's image and its NPY tile, as the table that was written."""
+    return written(docs.select("doc_id", "text").mapInArrow(_stored, "doc_id long, n_bytes long, media binary, tile binary"), "media", "zstd")
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_features, f"doc_id long, {KINDS}")
+    """Digests and features of every text's image and tile, read back from where they are stored."""
+    return stored_documents(docs).mapInArrow(_features, f"doc_id long, n_bytes long, {KINDS}")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
