@@ -4,8 +4,8 @@ A window is ``WINDOW`` consecutive words. Its anchor is the 20-gram of words wit
 have equal anchors at equal places, and runs of windows share one anchor: a document of n words has about n / 16 anchors.
 
 1. Seed: anchors that occur in two documents or more are found by one aggregation; documents join on them.
-2. Extend: an anchor's run of windows covers a span of up to 80 words, the longest that its windows extend it both ways. Equal
-   spans are settled at once: all but those of the smallest doc_id are repeats. Of each distinct span only that first
+2. Extend: an anchor's run of windows covers a span of up to 80 words, the longest that its windows extend it both ways. Words
+   are not compared one by one: a span is extended and compared by a 128-bit hash of all its words. Equal spans are settled at once: all but those of the smallest doc_id are repeats. Of each distinct span only that first
    document goes on, and only if its anchor has several spans: there every window is compared, by a 128-bit hash.
 3. A document's windows that start in a smaller doc_id unite to maximal repeats, whose words are removed.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.common import Rolling, WordHashes, mix64, portions, removed, written
+from headway.llm.common import Rolling, WordHashes, first_rows, mix64, portions, removed, written
 
 WINDOW, GRAM = 50, 20
 CHOICE = WINDOW - GRAM + 1
@@ -148,7 +148,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256."""
     whole, texts, found = repeats(docs)
     ranges = written(found.groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "ranges")
-    cut = texts.join(ranges, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "first", "last").mapInArrow(_kept, "id long, n_removed long, left_sha256 string")
+    cut = texts.join(ranges, "doc_id").transform(first_rows, ["doc_id"]).select("doc_id", "text", "first", "last").mapInArrow(_kept, "id long, n_removed long, left_sha256 string")
     cut = written(cut, "cut")
     rows = whole.join(cut, whole["doc_id"] == cut["id"], "left")
     return rows.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("left_sha256", "whole_sha256").alias("kept_sha256"))

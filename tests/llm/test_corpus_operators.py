@@ -189,6 +189,47 @@ def test_url_regression_learns(spark):
     assert rows(url_filter.judge(pages, labelled), "page_id", "verdict") == [(1, "allow"), (2, "block")]
 
 
+def test_url_features_by_brute_force():
+    hosts, paths = ["a.org", "", "x" * 3000, "\u00e9.net"], ["/en/1", "", "/" + "yz" * 900, "/\U0001f600"]
+    buckets, starts = url_filter.grams(hosts, paths)
+    for k, (host, path) in enumerate(zip(hosts, paths, strict=True)):
+        alone, _ = url_filter.grams([host], [path])
+        assert (alone == buckets[starts[k] : starts[k + 1]]).all()
+        different = {(part, text[i : i + n]) for part, text in enumerate((f"^{host}$", f"^{path}$")) for n in url_filter.GRAMS for i in range(len(text) - n + 1)}
+        assert 0.9 * len(different) <= len(alone) <= len(different)
+    model = url_filter.Regression()
+    model.weights[:] = np.random.default_rng(1).normal(size=url_filter.BUCKETS)
+    want = [model.weights[buckets[a:b]].sum() / np.sqrt(b - a) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert np.allclose(model.logits(buckets, starts), want)
+
+
+def test_url_sample_is_bounded_and_balanced(spark, monkeypatch):
+    """A url that fills most rows counts once; of many urls a share by hash is taken; the verdicts' weights are even."""
+    monkeypatch.setattr(url_filter, "SAMPLE", 400)
+    taken = []
+    monkeypatch.setattr(url_filter.Regression, "train", lambda self, rows, blocked: taken.append((rows, blocked)) or self)
+    rows_ = [("hot.com", "/", "allow")] * 3000 + [(f"h{k}.com", f"/{k}", "allow") for k in range(3000)] + [(f"b{k}.net", None, "block") for k in range(150)] + [("n.org", "/", None)]
+    url_filter.fitted(spark.createDataFrame(rows_, "host string, path string, verdict string"))
+    (found, blocked), = taken
+    assert blocked.sum() == 150 and 50 < (blocked == 0).sum() <= 200 and len(set(found)) == len(found)
+
+
+def test_url_error_is_measured_on_urls_set_aside():
+    rows_ = [(f"shop{k}.biz", f"/buy/{k}") for k in range(300)] + [(f"news{k}.org", f"/story/{k}") for k in range(100)]
+    model = url_filter.Regression().train(rows_, np.array([1.0] * 300 + [0.0] * 100))
+    assert max(model.error.values()) < 0.1
+    noise = url_filter.Regression().train(rows_, np.random.default_rng(0).integers(0, 2, 400).astype(float))
+    assert max(noise.error.values()) > 0.3
+
+
+def test_url_odd_rows(spark):
+    data = [(None, "http://a.com/en/"), (1, "http://b.org/" + "x" * 100_000), (1, "http://b.org/" + "x" * 100_000), (2, None)]
+    df = spark.createDataFrame([(*r, 3, "h") for r in data], "page_id long, url string, score int, host string")
+    out = url_filter.judge(df, url_filter.judged_by_rules(df).withColumn("verdict", F.col("rule_verdict"))).collect()
+    assert len(out) == 4 and {len(r["path"]) for r in out if r["page_id"] == 1} == {100_001}
+    assert [r["verdict"] for r in out if r["page_id"] is None] == ["allow"]
+
+
 # media
 
 
@@ -239,6 +280,30 @@ def test_media_unreadable(spark):
     got = {r["k"]: r for r in media.describe(df, "k", "c").collect()}
     assert [got[k]["error"] is None for k in (1, 2, 3, 4)] == [False, False, False, True]
     assert got[4]["height"] == 2 and got[1]["tile"] is None
+    bad = [b"P2 2 1 255\n300 1\n", b"P2 2 1 10\n11 1\n", b"P5 99999999999 99999999999 255\n", b"P5 0 0 255\n", b"P4 0 3\n", b"P5 60000 60000 255\n", b"P3 2 2 255\n1 2 3", b"P5 3"]
+    bad += [b"P2 1 1 255\n99999999999999999999", b"P2 1 1 255\n-3", b"P9 1 1", b"", media.encode_bmp(np.zeros((3, 3), np.uint8))[:60]]
+    df = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(bad)], "k long, c binary")
+    assert all(r["error"] and r["tile"] is None and r["feature"] is None for r in media.describe(df, "k", "c").collect())
+
+
+def test_media_tiles_are_written_and_read_back(spark):
+    rng = np.random.default_rng(6)
+    images = [rng.integers(0, 256, (int(h), int(w)), dtype=np.uint8) for h, w in rng.integers(1, 90, (12, 2))]
+    df = spark.createDataFrame([(k, bytearray(media.encode_pgm(i))) for k, i in enumerate(images)], "k long, c binary")
+    out = media.tiles_written(df, "k", "c", 16)
+    assert out.inputFiles()
+    for r in out.collect():
+        tile = media.tile_array(bytes(r["tile"]))
+        assert tile.shape == (16, 16) and (tile == media.resize(images[r["k"]], 16, 16)).all()
+
+
+def test_difference_hash_by_brute_force():
+    rng = np.random.default_rng(7)
+    for height, width in ((8, 9), (16, 27), (40, 90)):
+        image = rng.integers(0, 256, (height, width), dtype=np.uint8)
+        small = np.array([[np.floor(image[y * height // 8 : (y + 1) * height // 8, x * width // 9 : (x + 1) * width // 9].mean() + 0.5) for x in range(9)] for y in range(8)])
+        bits = "".join("1" if small[y, x + 1] > small[y, x] else "0" for y in range(8) for x in range(8))
+        assert media.difference_hash(image) == f"{int(bits, 2):016x}"
 
 
 # preference pairs
