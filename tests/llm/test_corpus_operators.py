@@ -462,6 +462,44 @@ def test_toxicity_on_held_out(spark, documents, sf):
         assert auc > 0.8, auc
 
 
+def test_toxicity_pooling_by_a_plain_loop(monkeypatch):
+    """Every window of every width scored on its own, the largest kept; the same however the words are cut into stretches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng)
+    for table in model.tables:
+        table[:] = rng.normal(size=table.shape)
+    texts = ["one", "", " ".join(f"w{k}" for k in range(300)), "two words, three!", "..."]
+    words, starts = toxicity.hashed(pa.array(texts))
+    want = []
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        x = np.concatenate([model.vectors(words[a:]), np.zeros((3, toxicity.TABLES * toxicity.DEPTH), np.float32)])
+        pooled = []
+        for w, block, floors in zip(toxicity.WIDTHS, model.blocks, model.floors.reshape(len(toxicity.WIDTHS), -1), strict=True):
+            for f in range(toxicity.FILTERS):
+                pooled.append(max(0, max(sum(float(block[step, f] @ x[k + step]) for step in range(w)) + floors[f] for k in range(b - a))))
+        want.append(np.array(pooled) @ model.out + model.bias)
+    for stretch in (7, 64, 1 << 15):
+        monkeypatch.setattr(toxicity, "STRETCH", stretch)
+        assert np.allclose(model.logits(words, starts), want, atol=1e-4)
+
+
+def test_toxicity_thresholds_by_language(spark):
+    model = toxicity.Model(np.random.default_rng(0))
+    logits = np.concatenate([np.linspace(-3, 1, 40), np.linspace(-1, 3, 40), [-2.0, 2.0]])
+    labels = np.array([0] * 40 + [1] * 40 + [0, 1])
+    toxicity.calibrate(model, logits, labels, ["en"] * 80 + ["de"] * 2)
+    assert set(model.thresholds) == {"en"}  # two rows are too few for a threshold of their own
+    scores = model.score(logits)[:80]
+    f1 = lambda cut: 2 * (hit := ((scores >= cut) & (labels[:80] == 1)).sum()) / max(1, (scores >= cut).sum() + 40)
+    assert f1(model.thresholds["en"]) >= max(f1(c) for c in np.arange(0.1, 0.91, 0.05)) - 1e-9
+    model.thresholds = {"en": 0.8}
+    scored = spark.createDataFrame([("en", 0.5), ("en", 0.8), ("de", 0.5), (None, 0.2)], "lang string, score double")
+    got = rows(toxicity._verdicts(scored, model, "lang"), "lang", "score", "rejected")
+    assert got == sorted([("en", 0.5, False), ("en", 0.8, True), ("de", 0.5, True), (None, 0.2, False)], key=repr)
+
+
 def test_toxicity_scores_see_text_only(spark, documents, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     other = docs.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("x")})
