@@ -26,5 +26,5 @@ LONDON = "Europe/London"
 RADIUS_M, MEAN_RADIUS_M, DEGREE_M, PLAIN_DEGREE_M = 6_371_000.0, 6_371_008.8, 111_320.0, 111_195.0
 
 #: Words that place names share and that say nothing about which place is meant.
-GENERIC_PLACE_WORDS = ("bus", "station", "interchange", "stop", "stand", "the", "road", "street")
+GENERIC_PLACE_WORDS = ("bus", "station", "interchange", "the", "stop", "stand", "terminus")
 COMPASS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")

@@ -67,35 +67,47 @@ def encode_polyline(points: np.ndarray, precision: int = 6) -> str:
 
 
 class Track:
-    """A polyline with cumulative metres, for projecting points on it."""
-
-    def __init__(self, points: np.ndarray, degree: float = DEGREE_M):
-        self.scale = np.array([degree, degree * math.cos(math.radians(float(points[0, 0])))])
-        self.origin = points[0]
-        self.xy = (points - self.origin) * self.scale
-        self.length = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(self.xy, axis=0).T))])
-
-    def project(self, point: np.ndarray, near: float | None = None, back: float = 600.0, ahead: float = 3000.0, accept: float = 25.0) -> tuple[float, float]:
-        """Metres along and off the track of the nearest point; first near where the last report was, if that is close enough."""
-        p = (np.asarray(point) - self.origin) * self.scale
-        if near is not None:
-            first = max(0, int(np.searchsorted(self.length, near - back)) - 1)
-            last = min(len(self.xy) - 1, int(np.searchsorted(self.length, near + ahead)))
-            if last > first:
-                along, off = self._nearest(p, first, last)
-                if off <= accept:
-                    return along, off
-        return self._nearest(p, 0, len(self.xy) - 1)
-
-    def _nearest(self, p: np.ndarray, first: int, last: int) -> tuple[float, float]:
-        a, b = self.xy[first:last], self.xy[first + 1 : last + 1]
-        d = b - a
-        square = (d**2).sum(1)
-        t = np.clip(np.where(square > 0, ((p - a) * d).sum(1) / np.where(square > 0, square, 1), 0), 0, 1)
-        off = np.hypot(*(p - (a + d * t[:, None])).T)
+    """A polyline with cumulative metres. A segment's metres to a degree of longitude are those at its start."""
+
+    def __init__(self, lats, lons, degree: float = DEGREE_M):
+        self.at = np.stack([np.asarray(lats, np.float64), np.asarray(lons, np.float64)], axis=1)
+        self.scale = np.stack([np.full(len(self.at) - 1, degree), degree * np.cos(np.radians(self.at[:-1, 0]))], axis=1)
+        self.steps = np.diff(self.at, axis=0) * self.scale
+        self.square = (self.steps**2).sum(1)
+        self.length = np.concatenate([[0.0], np.cumsum(np.sqrt(self.square))])
+
+    def segment(self, s: float) -> int:
+        return int(np.clip(np.searchsorted(self.length, s, side="right") - 1, 0, len(self.steps) - 1))
+
+    def project(self, lat: float, lon: float, first: int = 0, last: int | None = None) -> tuple[float, float]:
+        """Metres along and off the track of its point nearest to (lat, lon), among the segments from ``first`` up to ``last``."""
+        part = slice(first, last)
+        p = (np.array([lat, lon]) - self.at[:-1][part]) * self.scale[part]
+        d, square = self.steps[part], self.square[part]
+        t = np.clip(np.where(square > 0, (p * d).sum(1) / np.where(square > 0, square, 1), 0), 0, 1)
+        off = np.hypot(*(p - d * t[:, None]).T)
         k = int(np.argmin(off))
         return float(self.length[first + k] + t[k] * math.sqrt(square[k])), float(off[k])
 
+    def project_near(self, lat: float, lon: float, near: float | None, back: float = 600.0, ahead: float = 3000.0, accept: float = 25.0) -> tuple[float, float]:
+        """As ``project``, first about where the last point was; the whole track where nothing there is close enough."""
+        if near is not None:
+            found = self.project(lat, lon, max(0, self.segment(near - back) - 1), self.segment(near + ahead) + 1)
+            if found[1] <= accept:
+                return found
+        return self.project(lat, lon)
+
+    def point_at(self, s: float) -> tuple[float, float]:
+        k = self.segment(s)
+        part = self.length[k + 1] - self.length[k]
+        t = min(1.0, max(0.0, (s - self.length[k]) / part)) if part else 0.0
+        return tuple(float(x) for x in self.at[k] + t * (self.at[k + 1] - self.at[k]))
+
+    def heading_at(self, s: float) -> float:
+        """Degrees clockwise from north of the segment at ``s``."""
+        north, east = self.steps[self.segment(s)]
+        return math.degrees(math.atan2(east, north)) % 360
+
 
 POINTS = T.ArrayType(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from headway.plans import aggregates, boards, calendar, estimators, histories, sequences, spatial
+from headway.plans import aggregates, boards, calendar, estimators, histories, matching, passages, relations, sequences, spatial
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (histories, sequences, aggregates, calendar, spatial, boards, estimators):
+for part in (histories, sequences, aggregates, calendar, spatial, boards, estimators, matching, passages, relations):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
