@@ -19,10 +19,10 @@ def encode_runs(departures: DataFrame, keys: list[str], second: str) -> DataFram
 
 
 def decode_runs(runs: DataFrame, keys: list[str], second: str) -> DataFrame:
-    """One row per departure."""
-    flat = runs.select(*keys, "first", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "gaps")).alias("k", "step"))
-    upto = W.partitionBy(*keys, "first").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    return flat.select(*keys, (F.col("first") + F.sum("step").over(upto)).alias(second))
+    """One row per departure. The steps are added up inside the run's own row."""
+    start = F.struct(F.col("first").cast("long").alias("at"), F.array(F.col("first").cast("long")).alias("all"))
+    added = F.aggregate("gaps", start, lambda s, gap: F.struct((s["at"] + gap).alias("at"), F.concat(s["all"], F.array(s["at"] + gap)).alias("all")))
+    return runs.select(*keys, F.explode(added["all"]).alias(second))
 
 
 def islands_of_rules(departures: DataFrame, keys: list[str], second: str, same: list[str]) -> DataFrame:

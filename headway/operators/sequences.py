@@ -16,12 +16,11 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def trail(df: DataFrame, keys: list[str], at: str, tie: str, points: int, seconds: int) -> DataFrame:
     """Up to ``points`` newest rows per key that are no older than ``seconds`` before the key's newest; ``step`` counts from the oldest."""
-    newest = df.groupBy(*keys).agg(F.max(at).alias("newest"))
-    near = df.join(newest, keys).filter(F.col(at) >= F.col("newest") - F.expr(f"interval {seconds} seconds"))
     down = W.partitionBy(*keys).orderBy(F.desc(at), F.desc(tie))
-    kept = near.withColumn("k", F.row_number().over(down)).filter(F.col("k") <= points)
-    up = W.partitionBy(*keys)
-    return kept.withColumn("step", (F.count(F.lit(1)).over(up) - F.col("k") + 1).cast("long")).drop("k", "newest")
+    # one order gives the newest (the first row), the rank and, from the oldest kept, the step
+    rows = df.withColumns({"__newest": F.first(at).over(down), "__k": F.row_number().over(down)})
+    kept = rows.filter((F.col("__k") <= points) & (F.col(at) >= F.col("__newest") - F.expr(f"interval {seconds} seconds")))
+    return kept.withColumn("step", (F.count(F.lit(1)).over(W.partitionBy(*keys)) - F.col("__k") + 1).cast("long")).drop("__k", "__newest")
 
 
 def gaps(df: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from headway.constants import RADIUS_M
 from headway.functions.geo import metres
 
+#: Latitude, north or south, up to which near_join's cells are wide enough.
+MOST_LAT = 66.0
+
 
 def band_join(left: DataFrame, right: DataFrame, l_at: str, r_at: str, width: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows (of equal ``keys``) whose values differ by ``width`` at most: cells of that width, the right side in three."""
@@ -20,9 +26,11 @@ def band_join(left: DataFrame, right: DataFrame, l_at: str, r_at: str, width: fl
 
 
 def near_join(left: DataFrame, right: DataFrame, radius_m: float, cell_lat: float, cell_lon: float) -> DataFrame:
-    """Pairs of left (lat, lon) and right (to_lat, to_lon) within ``radius_m``, with ``metres``. Cells must not be smaller than the radius."""
+    """Pairs of left (lat, lon) and right (to_lat, to_lon) within ``radius_m``, with ``metres``; as many cells around as the radius reaches, up to ``MOST_LAT``."""
+    degree = math.radians(1) * RADIUS_M
+    up, along = (math.ceil(radius_m / (cell * degree * shrink)) for cell, shrink in ((cell_lat, 1.0), (cell_lon, math.cos(math.radians(MOST_LAT)))))
     a = left.withColumn("__y", F.floor(F.col("lat") / cell_lat)).withColumn("__x", F.floor(F.col("lon") / cell_lon))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-up, up + 1) for j in range(-along, along + 1)])
     b = right.withColumn("__n", F.explode(around))
     b = b.withColumn("__by", F.floor(F.col("to_lat") / cell_lat) + F.col("__n.i")).withColumn("__bx", F.floor(F.col("to_lon") / cell_lon) + F.col("__n.j")).drop("__n")
     met = a.join(b, (a["__y"] == b["__by"]) & (a["__x"] == b["__bx"])).withColumn("metres", metres(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon")))

@@ -30,12 +30,9 @@ SELECT event_type, max(value) FILTER (WHERE i = least(CAST(floor(n * 0.8) AS BIG
        max(value) FILTER (WHERE i = CAST(floor(n / 2) AS BIGINT)) AS upper_median FROM s GROUP BY 1"""
 )
 def percentile_conventions(spark, sf_dir):
-    """Index, floor and upper-median conventions. The sorted values of a group are ranked, not collected."""
-    w = W.partitionBy("event_type")
-    e = events(spark, sf_dir).select("event_type", "value").withColumns({"i": F.row_number().over(w.orderBy("value")) - 1, "n": F.count(F.lit(1)).over(w)})
-    at = lambda k: F.max(F.when(F.col("i") == k, F.col("value")))
-    n = F.col("n")
-    return e.groupBy("event_type").agg(at(F.least(F.floor(n * 0.8), n - 1)).alias("p80_index"), at(F.floor((n - 1) * 0.8)).alias("p80_floor"), at(F.floor(n / 2)).alias("upper_median"))
+    """Index, floor and upper-median conventions. Values are counted, dealt by ranges and ranked; no group lands in one task."""
+    wanted = {"p80_index": ("index", 0.8), "p80_floor": ("floor", 0.8), "upper_median": ("upper", 0.5)}
+    return stats.quantiles(events(spark, sf_dir), ["event_type"], "value", wanted).drop("n")
 
 
 @query("SELECT event_type, CAST(floor(value / 10.0) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1, 2")
@@ -116,22 +113,6 @@ def destinations_at_stop(spark, sf_dir):
     return rows.groupBy("s_nationkey").agg(F.array_join(F.slice(F.sort_array(F.collect_set("b")), 1, 4), ",").alias("towards"))
 
 
-@query(
-    """SELECT p_partkey, score FROM (
-  SELECT p_partkey, p_name, CAST(hits * 4 + CASE WHEN p_name LIKE 'red%' THEN 2 ELSE 0 END AS BIGINT) AS score FROM (
-    SELECT *, CAST(list_contains(string_split(p_name, ' '), 'red') AS BIGINT) + CAST(list_contains(string_split(p_name, ' '), 'ring') AS BIGINT) AS hits FROM part) WHERE hits >= 1)
-ORDER BY score DESC, p_name, p_partkey LIMIT 20"""
-)
-def text_search(spark, sf_dir):
-    """Words that hit score 4 each, a name that starts with the first one 2 more; ties by name."""
-    p = table(spark, sf_dir, "part")
-    wanted = F.array(F.lit("red"), F.lit("ring"))
-    hits = F.size(F.filter(wanted, lambda x: F.array_contains(F.split("p_name", " "), x)))
-    rows = p.select("p_partkey", "p_name", hits.alias("hits")).filter("hits >= 1")
-    score = (F.col("hits") * 4 + F.when(F.col("p_name").startswith("red"), 2).otherwise(0)).cast("long")
-    return rows.select("p_partkey", "p_name", score.alias("score")).orderBy(F.desc("score"), "p_name", "p_partkey").limit(20).drop("p_name")
-
-
 @query(
     """WITH d AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events WHERE value > 100)
 SELECT event_id, user_id FROM (SELECT d.*, row_number() OVER (ORDER BY CASE WHEN k = 1 THEN 0 ELSE 1 END, ts, event_id) AS place FROM d) WHERE place <= 150"""
@@ -143,20 +124,11 @@ def greedy_distinct(spark, sf_dir):
     return e.orderBy(F.col("k") > 1, "ts", "event_id").limit(150).select("event_id", "user_id")
 
 
-@query(
-    """SELECT p_brand FROM (SELECT DISTINCT p_brand FROM part) ORDER BY CAST(substring(p_brand, 7) AS INTEGER) LIMIT 12""",
-)
-def natural_order(spark, sf_dir):
-    """Numeric-aware order of line names."""
-    p = table(spark, sf_dir, "part").select("p_brand").distinct()
-    return p.orderBy(text.natural_key(F.substring("p_brand", 7, 9))).limit(12)
-
-
 @query(
     """SELECT p_brand, row_number() OVER (ORDER BY CAST(substring(p_brand, 7) AS INTEGER), p_brand) AS place FROM (SELECT DISTINCT p_brand FROM part)"""
 )
-def natural_places(spark, sf_dir):
-    """Every line name with its place in the numeric-aware order; natural_order has the first twelve. Distinct names are few, so one window ranks them."""
+def natural_order(spark, sf_dir):
+    """Every line name with its place in the numeric-aware order. Distinct names are few, so one window ranks them."""
     p = table(spark, sf_dir, "part").select("p_brand").distinct()
     return p.withColumn("place", F.row_number().over(W.orderBy(text.natural_key(F.substring("p_brand", 7, 9)), "p_brand")).cast("long"))
 
@@ -167,11 +139,13 @@ def natural_places(spark, sf_dir):
 )
 def anchor_verdicts(spark, sf_dir):
     """Median signed error, 80th percentile of absolute error, support and verdict per pattern."""
-    v = F.col("value")
-    return events(spark, sf_dir).groupBy("event_type").agg(
-        F.round(stats.linear(v, 0.5), 4).alias("median_value"), F.round(stats.linear(F.abs(v - 50), 0.8), 4).alias("p80_off"), F.count(F.lit(1)).alias("n"),
-        F.countDistinct(F.to_date("ts")).alias("days"), (stats.linear(v, 0.5).between(0, 60) & (F.count(F.lit(1)) >= 20)).alias("verified"),
-    )
+    e = events(spark, sf_dir).select("event_type", "value", F.to_date("ts").alias("day"), F.abs(F.col("value") - 50).alias("off"))
+    value = stats.quantiles(e, ["event_type"], "value", {"median": ("linear", 0.5)}).drop("n")
+    off = stats.quantiles(e, ["event_type"], "off", {"off": ("linear", 0.8)}).drop("n")
+    per = e.groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("n")).groupBy("event_type").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("days"))
+    rows = per.join(value, "event_type").join(off, "event_type")
+    verified = F.col("median").between(0, 60) & (F.col("n") >= 20)
+    return rows.select("event_type", F.round("median", 4).alias("median_value"), F.round("off", 4).alias("p80_off"), "n", "days", verified.alias("verified"))
 
 
 @query(
@@ -182,7 +156,8 @@ SELECT event_type, CAST(f AS DOUBLE) AS best FROM (SELECT *, row_number() OVER (
 def grid_search(spark, sf_dir):
     """The parameter with the smallest median error. The grid is five literals, exploded per row."""
     e = events(spark, sf_dir).select("event_type", "value", F.explode(F.array(*[F.lit(f) for f in (0.5, 0.8, 1.0, 1.2, 1.5)])).alias("f"))
-    err = e.groupBy("event_type", "f").agg(F.round(stats.linear(F.abs(F.col("value") * F.col("f") - 30), 0.5), 6).alias("err"))
+    e = e.withColumn("off", F.abs(F.col("value") * F.col("f") - 30))
+    err = stats.quantiles(e, ["event_type", "f"], "off", {"err": ("linear", 0.5)}).withColumn("err", F.round("err", 6))
     return err.groupBy("event_type").agg(F.min(F.struct("err", "f")).alias("x")).select("event_type", F.col("x.f").alias("best"))
 
 

@@ -35,9 +35,9 @@ def error_profile(spark, sf_dir):
     v, err = F.col("value"), F.abs(F.col("value") - 30)
     bins = F.when(v <= 10, 10).when(v <= 20, 20).when(v <= 45, 45).when(v <= 120, 120)
     e = events(spark, sf_dir).select("event_type", bins.alias("bin"), err.alias("err")).filter("bin IS NOT NULL")
-    return e.groupBy("event_type", "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.round(stats.linear(F.col("err"), 0.5), 4).alias("p50"), F.round(stats.linear(F.col("err"), 0.8), 4).alias("p80"), F.round(F.avg((F.col("err") <= 25).cast("double")), 6).alias("covered")
-    )
+    at = stats.quantiles(e, ["event_type", "bin"], "err", {"p50": ("linear", 0.5), "p80": ("linear", 0.8)}).drop("n")
+    per = e.groupBy("event_type", "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("err") <= 25).cast("double")), 6).alias("covered"))
+    return per.join(at, ["event_type", "bin"]).select("event_type", "bin", "n", F.round("p50", 4).alias("p50"), F.round("p80", 4).alias("p80"), "covered")
 
 
 @query(
@@ -51,7 +51,7 @@ def display_moments(spark, sf_dir):
     at = F.floor(F.unix_micros("ts") / 1_000_000)
     h = events(spark, sf_dir).select("user_id", at.alias("a"), F.lead(at).over(w).alias("b"))
     end = F.least(F.coalesce("b", F.col("a") + 150), F.col("a") + 150)
-    moments = F.when(end > F.col("a"), F.size(F.sequence(F.col("a"), F.greatest(F.col("a"), end - 1), F.lit(5)))).otherwise(0)
+    moments = F.when(end > F.col("a"), F.floor((end - F.col("a") + 4) / 5)).otherwise(0)
     return h.groupBy("user_id").agg(F.sum(moments).cast("long").alias("moments"), F.count(F.lit(1)).alias("holds"))
 
 
@@ -61,5 +61,7 @@ SELECT event_type, count(*) AS journeys, round(quantile_cont(own, 0.5), 4) AS me
 )
 def median_of_medians(spark, sf_dir):
     """Per-journey medians and the median of those."""
-    m = events(spark, sf_dir).groupBy("user_id", "event_type").agg(stats.linear(F.abs(F.col("value") - 30), 0.5).alias("own"))
-    return m.groupBy("event_type").agg(F.count(F.lit(1)).alias("journeys"), F.round(stats.linear(F.col("own"), 0.5), 4).alias("median_of_medians"))
+    e = events(spark, sf_dir).withColumn("off", F.abs(F.col("value") - 30))
+    m = stats.quantiles(e, ["user_id", "event_type"], "off", {"own": ("linear", 0.5)})
+    at = stats.quantiles(m, ["event_type"], "own", {"median": ("linear", 0.5)})
+    return at.select("event_type", F.col("n").alias("journeys"), F.round("median", 4).alias("median_of_medians"))

@@ -32,10 +32,8 @@ WHERE gap > 0 GROUP BY 1"""
 def report_interval(spark, sf_dir):
     """Gaps between a vehicle's reports, exact percentiles."""
     g = sequences.gaps(events(spark, sf_dir), ["user_id", "event_type"], "ts", "event_id")
-    pick = lambda c, n: F.round(c, 3).alias(n)
-    return g.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), pick(stats.linear(F.col("gap_s"), 0.5), "p50_s"), pick(stats.linear(F.col("gap_s"), 0.95), "p95_s"), pick(F.min("gap_s"), "min_s"), pick(F.max("gap_s"), "max_s")
-    )
+    at = stats.quantiles(g, ["event_type"], "gap_s", {"p50_s": ("linear", 0.5), "p95_s": ("linear", 0.95), "min_s": ("floor", 0.0), "max_s": ("floor", 1.0)})
+    return at.select("event_type", "n", *[F.round(c, 3).alias(c) for c in ("p50_s", "p95_s", "min_s", "max_s")])
 
 
 @query(

@@ -27,7 +27,7 @@ def test_direct_journeys_of_all_stops(spark, small):
     for _, a, b, ride in legs():
         n, fewest = want.get((a, b), (0, ride))
         want[a, b] = (n + 1, min(fewest, ride))
-    got = {(r["board"], r["alight"]): (r["patterns"], r["fewest"]) for r in registry.QUERIES["all_direct_journeys"](spark, small).collect()}
+    got = {(r["board"], r["alight"]): (r["patterns"], r["fewest"]) for r in registry.QUERIES["direct_journeys"](spark, small).collect()}
     assert got == want
 
 
@@ -37,17 +37,17 @@ def test_one_change_journeys_of_all_stops(spark, small):
         for q, d, z, r2 in legs():
             if c == d and p != q and a != z:
                 want[a, z, c] = min(want.get((a, z, c), (99, 0, 0)), (r1 + r2, p, q))
-    got = {(r["origin"], r["alight"], r["change"]): (r["score"], r["first_id"], r["second_id"]) for r in registry.QUERIES["all_one_change_journeys"](spark, small).collect()}
+    got = {(r["origin"], r["alight"], r["change"]): (r["score"], r["first_id"], r["second_id"]) for r in registry.QUERIES["one_change_journeys"](spark, small).collect()}
     assert got == want
 
 
 def test_relations_of_all_patterns(spark, small):
-    got = {r["pattern_id"]: r["relation"] for r in registry.QUERIES["all_stop_relations"](spark, small).collect()}
+    got = {r["pattern_id"]: r["relation"] for r in registry.QUERIES["stop_relation"](spark, small).collect()}
     assert got == {5: "beyond", 10: "does_not_call", 11: "near", 13: "does_not_call", 17: "approaching", 23: "does_not_call"}
 
 
 def test_places_of_all_names(spark, tmp_path):
     names = [f"Brand#{n}" for n in (100, 9, 10, 1, *range(20, 40))]
     spark.createDataFrame([(n,) for n in names + names[:3]], "p_brand string").write.parquet(str(tmp_path / "part.parquet"))
-    got = {r["p_brand"]: r["place"] for r in registry.QUERIES["natural_places"](spark, str(tmp_path)).collect()}
+    got = {r["p_brand"]: r["place"] for r in registry.QUERIES["natural_order"](spark, str(tmp_path)).collect()}
     assert got == {n: k + 1 for k, n in enumerate(sorted(names, key=lambda n: int(n[6:])))}
