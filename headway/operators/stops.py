@@ -50,11 +50,6 @@ def longest_pattern(patterns: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, (-F.col("x.least")).alias("pattern_id"), F.col("x.stop_count").alias("stop_count"))
 
 
-def relation(stop_at: Column, vehicle_at: Column) -> Column:
-    """A matched vehicle and a stop by their indexes on the pattern; null where it doesn't call."""
-    return F.when(stop_at.isNull(), "does_not_call").when(stop_at == vehicle_at, "near").when(stop_at < vehicle_at, "beyond").otherwise("approaching")
-
-
 def branch_relation(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Of vehicles on one of several branches (keys, stop_at, vehicle_at): how many bring them to the stop, and the fewest and most stops away."""
     ahead = F.when(F.col("stop_at") >= F.col("vehicle_at"), F.col("stop_at") - F.col("vehicle_at"))
