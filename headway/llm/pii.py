@@ -53,17 +53,17 @@ CARD_DIGITS, PHONE_DIGITS = (16, 19), (8, 15)
 SAMPLE, BUCKETS, FEATURES, LABELS = 3000, 1 << 15, 12, 1 + len(KINDS)
 EPOCHS, BATCH, RATE, SEED = 25, 256, 0.5, 11
 #: Steps of the joint training, each over one part of the texts, its rate and pull towards zero, nodes of a batch and of all.
-JOINT, JOINT_RATE, RIDGE, PART, NODES = 300, 0.4, 1e-4, 500, 60_000
+JOINT, JOINT_RATE, RIDGE, PART, NODES = 300, 0.4, 5e-3, 500, 60_000
 #: Share of candidates whose own factors a step of the joint training leaves out, so that edges have to tell their labels.
 DROPPED = 0.5
 #: What skip edges start from, and are pulled towards: that words of one key, or of one form, agree.
-AGREE = 2.0
+AGREE = 3.0
 BEFORE, AFTER, EVIDENCE = 2, 1, 30.0
 #: Digits that an added card or phone has at least: also the older and the local forms, that the patterns leave out.
 LEAST_CARD, LEAST_PHONE = 13, 7
 #: Written forms of numbers that count as similar have this many digits at least; and what numbers are written with.
 FORM_DIGITS, NUMBER = 7, re.compile(r"[+(]*[0-9][0-9().\-/]*")
-ROUNDS, DAMPING, SURE, REACH = 8, 0.3, 0.9, 4.0
+ROUNDS, DAMPING, SURE, REACH = 8, 0.3, 0.65, 6.0
 EDGES_OF = ("chain", "skip", "alike")
 SETTLED = 1e-3
 WORD, CANDIDATE = re.compile(r"\S+"), re.compile(r"[0-9@+]")
