@@ -13,9 +13,9 @@ QUERIES, ORACLES, query = registering()
 
 #: Vehicles (route, operator, direction, destination, place, day) and patterns with rules and placed calls, made from keys.
 _MADE = """
-v AS (SELECT c_custkey AS vehicle_id, 'L' || (c_custkey % 130) AS route, 'O' || (c_custkey % 4) AS operator, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'O' WHEN 2 THEN 'f' ELSE 'x' END AS direction,
+v AS (SELECT c_custkey AS vehicle_id, 'L' || (c_custkey // 10) AS route, 'O' || (c_custkey % 4) AS operator, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'O' WHEN 2 THEN 'f' ELSE 'x' END AS direction,
    'Place_' || (c_custkey % 7) || ' Station' AS destination, 53.4001 + (c_custkey * 7919 % 1000) / 9000.0 AS lat, -2.2999 + (c_custkey * 104729 % 1000) / 9000.0 AS lon, DATE '1996-06-01' + CAST(c_nationkey AS INTEGER) AS day FROM customer),
-p AS (SELECT o_orderkey AS pattern_id, 'L' || (o_custkey % 120) AS line, 'O' || (o_orderkey % 3) AS operator, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE lower(o_orderstatus) END AS direction, 'place ' || (o_orderkey % 9) AS destination,
+p AS (SELECT o_orderkey AS pattern_id, 'L' || (o_custkey // 12) AS line, 'O' || (o_orderkey % 3) AS operator, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE lower(o_orderstatus) END AS direction, 'place ' || (o_orderkey % 9) AS destination,
    CAST(o_orderdate AS DATE) AS valid_from, CAST(o_orderdate AS DATE) + 400 AS valid_to, o_orderkey % 7 AS first_day, o_orderkey % 13 = 0 AS loop FROM orders),
 c AS (SELECT l_orderkey AS pattern_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) - 1 AS index, l_suppkey AS stop FROM lineitem),
 s AS (SELECT pattern_id, count(*) AS stop_count, string_agg(CAST(stop AS VARCHAR), ',' ORDER BY index) AS seq FROM c GROUP BY 1),
@@ -45,7 +45,7 @@ def _vehicles(spark, sf_dir):
     day = F.date_add(F.lit("1996-06-01").cast("date"), F.col("c_nationkey").cast("int"))
     words = F.concat(F.lit("Place_"), key % 7, F.lit(" Station")).alias("destination")
     return table(spark, sf_dir, "customer").select(
-        key.alias("vehicle_id"), F.concat(F.lit("L"), key % 130).alias("route"), F.concat(F.lit("O"), key % 4).alias("operator"), direction.alias("direction"), words, *place, day.alias("day")
+        key.alias("vehicle_id"), F.concat(F.lit("L"), F.floor(key / 10)).alias("route"), F.concat(F.lit("O"), key % 4).alias("operator"), direction.alias("direction"), words, *place, day.alias("day")
     )
 
 
@@ -59,7 +59,7 @@ def _lines(spark, sf_dir):
     places = table(spark, sf_dir, "supplier").filter(stop % 17 != 0).select(stop.alias("stop"), (53.4 + stop % 10 / 90.0).alias("lat"), (-2.3 + F.floor(stop / 10) % 10 / 90.0).alias("lon"))
     o = orders(spark, sf_dir)
     patterns = o.select(
-        key.alias("pattern_id"), F.concat(F.lit("L"), F.col("o_custkey") % 120).alias("line"), F.concat(F.lit("O"), key % 3).alias("operator"),
+        key.alias("pattern_id"), F.concat(F.lit("L"), F.floor(F.col("o_custkey") / 12)).alias("line"), F.concat(F.lit("O"), key % 3).alias("operator"),
         F.when(key % 11 == 0, "").otherwise(F.lower("o_orderstatus")).alias("direction"), F.concat(F.lit("place "), key % 9).alias("destination"), (key % 13 == 0).alias("loop"),
         F.col("o_orderdate").alias("valid_from"), F.date_add("o_orderdate", 400).alias("valid_to"), rules.alias("rules"),
     )
