@@ -51,7 +51,7 @@ class ChunkIds(dict):
     """
 
     #: Characters of the parts that are remembered, each counted with ``OWN`` more: some tens of MB.
-    BOUND, OWN = 12_000_000, 100
+    BOUND, OWN = 30_000_000, 100
     MARKS = ".,!?;:"
 
     def __init__(self, path: str):
@@ -123,7 +123,6 @@ def _pieces(tokenizer: str, length: int):
         end = np.array([END], "<u4").tobytes()
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        known.forget()  # a worker that has been used before keeps nothing
         for batch in batches:
             for a, b in portions(batch.column(1)):
                 out: list[list] = [[], [], [], [], []]
@@ -136,6 +135,7 @@ def _pieces(tokenizer: str, length: int):
                         for column, value in zip(out, (doc, piece, start, len(part) // 4, zlib.crc32(part)), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+        known.forget()  # the worker may serve other operators next
 
     return of
 
