@@ -1,6 +1,6 @@
 """The corpus queries by name, and SQL for those that SQL expresses."""
 
-from headway.llm import exact_dedup, media, mixing, near_dedup, packing, pii, preference, substring_dedup, toxicity, url_filter
+from headway.llm import exact_dedup, media, mixing, near_dedup, packing, pii, prefix_trie, preference, substring_dedup, toxicity, url_filter, warc, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_warc_index": warc.op11_warc_index,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
