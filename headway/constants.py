@@ -16,7 +16,7 @@ WALK_M, STOPS_NEAR, DIRECT_CANDIDATES, DIRECT_SHOWN = 900.0, 250, 24, 5
 CHANGE_CANDIDATES, CHANGE_SHOWN, TRANSFER_M, DETOUR, WALK_M_PER_MIN = 48, 4, 350.0, 1.3, 80.0
 RIDE_M_PER_STOP, CHANGE_PENALTY_M, CHANGE_ALLOWANCE_S = 450.0, 700.0, 120
 DIRECT_WINDOW_S, CHANGE_WINDOW_S, BOARD_LIMIT, BOARD_GRACE_S, BOARD_WINDOW_S = 180 * 60, 90 * 60, 8, 60, 180 * 60
-LATER_S, DIRECT_TIMES = 26 * 3600, 6
+LATER_S, DIRECT_TIMES, FIRST_BUSES = 26 * 3600, 6, 12
 GRID_LAT, GRID_LON = 0.004, 0.006
 DWELL_S, SPEED_WINDOW_S, STANDING_M_S, NEAR_M, MAX_M_S = 20, 180, 1.0, 1000.0, 20.0
 SAMPLE_S, HOLD_STALE_S, BIN_MIN, BOOTSTRAP, BOOTSTRAP_SEED = 5, 150, 0.05, 1000, 20260929

@@ -12,14 +12,15 @@ RULE = (
 
 
 def within(day: Column, ranges: Column) -> Column:
-    return F.coalesce(F.exists(ranges, lambda r: (day >= r["start"]) & (day <= r["end"])), F.lit(False))
+    """Whether a day lies in one of the ranges; a range without an end is its one day."""
+    return F.coalesce(F.exists(ranges, lambda r: (day >= r["start"]) & (day <= F.coalesce(r["end"], r["start"]))), F.lit(False))
 
 
 def rule_applies(rule: Column, day: Column) -> Column:
-    """Exclusions first, then added days, then weekdays (Monday is 0), and of those only what serviced organisations allow."""
+    """Exclusions first, then added days, then weekdays (Monday is 0), and of those only what every serviced organisation allows."""
     only = F.filter(rule["serviced"], lambda s: s["mode"] == "only")
     barred = F.coalesce(F.exists(F.filter(rule["serviced"], lambda s: s["mode"] == "except"), lambda s: within(day, s["ranges"])), F.lit(False))
-    allowed = F.coalesce(F.size(only) < 1, F.lit(True)) | F.coalesce(F.exists(only, lambda s: within(day, s["ranges"])), F.lit(False))
+    allowed = F.coalesce(F.forall(only, lambda s: within(day, s["ranges"])), F.lit(True))
     weekly = F.coalesce(F.array_contains(rule["days"], F.weekday(day)), F.lit(False))
     return F.when(within(day, rule["notOn"]), False).when(within(day, rule["alsoOn"]), True).otherwise(weekly & allowed & ~barred)
 

@@ -103,7 +103,8 @@ def stop_activity(reports: DataFrame, keys: list[str]) -> DataFrame:
     while they stay by the stop and within what scatters about it.
     """
     w = W.partitionBy(*keys).orderBy(F.desc("at"))
-    rows = reports.dropDuplicates([*keys, "at"])
+    one = F.row_number().over(W.partitionBy(*keys, "at").orderBy("lat", "lon"))  # of several reports of one instant the southernmost, then westernmost
+    rows = reports.withColumn("__one", one).filter("__one = 1").drop("__one")
     lat, lon = F.first("lat").over(w), F.first("lon").over(w)
     rows = rows.withColumns({"metres": metres(F.col("lat"), F.col("lon"), F.col("stop_lat"), F.col("stop_lon")), "moved": metres(F.col("lat"), F.col("lon"), lat, lon), "k": F.row_number().over(w)})
     away = (F.col("metres") > STAND_M) | (F.col("moved") > JITTER_M)

@@ -9,17 +9,20 @@ from headway.plans.base import events, orders, registering
 
 QUERIES, ORACLES, query = registering()
 
-#: One rule: weekdays Monday to Friday, never in two closed weeks, and on one Saturday besides.
+#: One rule: weekdays Monday to Friday in both of two terms' listed dates, never in two closed weeks nor on a day that is a range without an end, and on one Saturday besides.
 RULE = """named_struct('days', array(0, 1, 2, 3, 4), 'holidaysOnly', false,
- 'alsoOn', array(named_struct('start', date'1996-05-04', 'end', date'1996-05-04')),
- 'notOn', array(named_struct('start', date'1996-08-05', 'end', date'1996-08-18')),
- 'serviced', array(named_struct('mode', 'except', 'kind', 'holidays', 'organisations', array('schools'), 'ranges', array(named_struct('start', date'1997-02-10', 'end', date'1997-02-14')))),
+ 'alsoOn', array(named_struct('start', date'1996-05-04', 'end', cast(null as date))),
+ 'notOn', array(named_struct('start', date'1996-08-05', 'end', date'1996-08-18'), named_struct('start', date'1996-12-25', 'end', cast(null as date))),
+ 'serviced', array(named_struct('mode', 'except', 'kind', 'Holidays', 'organisations', array('schools'), 'ranges', array(named_struct('start', date'1997-02-10', 'end', date'1997-02-14'))),
+  named_struct('mode', 'only', 'kind', 'WorkingDays', 'organisations', array('schools'), 'ranges', array(named_struct('start', date'1995-01-09', 'end', date'1997-07-18'))),
+  named_struct('mode', 'only', 'kind', 'WorkingDays', 'organisations', array('colleges'), 'ranges', array(named_struct('start', date'1996-01-08', 'end', date'1998-06-26'), named_struct('start', date'1995-06-01', 'end', cast(null as date))))),
  'bankHolidays', cast(null as string))"""
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN d BETWEEN DATE '1996-08-05' AND DATE '1996-08-18' THEN false WHEN d = DATE '1996-05-04' THEN true
-              ELSE isodow(d) <= 5 AND NOT d BETWEEN DATE '1997-02-10' AND DATE '1997-02-14' END AS runs
+    """SELECT o_orderkey, CASE WHEN d BETWEEN DATE '1996-08-05' AND DATE '1996-08-18' OR d = DATE '1996-12-25' THEN false WHEN d = DATE '1996-05-04' THEN true
+              ELSE isodow(d) <= 5 AND NOT d BETWEEN DATE '1997-02-10' AND DATE '1997-02-14' AND d BETWEEN DATE '1995-01-09' AND DATE '1997-07-18'
+               AND (d BETWEEN DATE '1996-01-08' AND DATE '1998-06-26' OR d = DATE '1995-06-01') END AS runs
        FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)"""
 )
 def operating_rules(spark, sf_dir):

@@ -119,20 +119,27 @@ def ranked_choices(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT l_suppkey AS option, CAST(l_orderkey * 37 % 80000 AS BIGINT) AS leave_s, CAST(max(l_orderkey * 37 % 80000 + l_quantity * 60) AS BIGINT) AS arrive_s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2),
-s AS (SELECT DISTINCT l_suppkey AS option, CAST(l_orderkey * 41 % 90000 AS BIGINT) AS depart_s, CAST(l_orderkey * 41 % 90000 + l_quantity * 50 AS BIGINT) AS reach_s FROM lineitem WHERE l_returnflag = 'R'),
-r AS (SELECT f.*, arrive_s + floor((option % 350) * 1.3 / 80.0 * 60 + 0.5) + 120 AS ready FROM f),
-b AS (SELECT option, leave_s, arrive_s, min(reach_s) AS reach_s FROM r JOIN s USING (option) WHERE depart_s BETWEEN ready AND ready + 5400 GROUP BY 1, 2, 3),
-u AS (SELECT *, min(reach_s) OVER (PARTITION BY option ORDER BY leave_s, reach_s DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS least FROM b)
-SELECT option, leave_s, arrive_s, reach_s FROM u WHERE least IS NULL OR reach_s < least"""
+    """WITH o AS (SELECT s_suppkey AS option, abs(s_acctbal) / 10 AS walk, s_suppkey % 350 AS transfer FROM supplier), r AS (SELECT *, CASE WHEN floor(walk * 1.3 / 80.0 * 60 + 0.5) < 60 THEN 30000 - 60 ELSE 30000 + floor(walk * 1.3 / 80.0 * 60 + 0.5) END AS ready FROM o),
+f AS (SELECT l_suppkey AS option, CAST(l_orderkey * 37 % 150000 AS BIGINT) AS leave_s, CASE WHEN l_quantity < 45 THEN CAST(l_orderkey * 37 % 150000 + l_quantity * 60 AS BIGINT) END AS arrive_s FROM lineitem WHERE l_returnflag = 'A'),
+s AS (SELECT l_suppkey AS option, CAST(l_orderkey * 41 % 170000 AS BIGINT) AS depart_s, min(CASE WHEN l_quantity < 48 THEN CAST(l_orderkey * 41 % 170000 + l_quantity * 50 AS BIGINT) END) AS reach_s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+w AS (SELECT *, min(leave_s) OVER (PARTITION BY option) > 30000 + 10800 AS later FROM r JOIN f USING (option) WHERE leave_s BETWEEN ready AND 30000 + 93600),
+p AS (SELECT *, row_number() OVER (PARTITION BY option ORDER BY leave_s, arrive_s NULLS LAST) AS place FROM w WHERE later OR leave_s <= 30000 + 10800),
+q AS (SELECT *, arrive_s + CAST(floor(transfer * 1.3 / 80.0 * 60 + 120 + 0.5) AS BIGINT) AS ready2 FROM p WHERE place <= 12),
+m AS (SELECT q.*, x.depart_s, x.reach_s FROM q LEFT JOIN LATERAL (SELECT depart_s, reach_s FROM s WHERE s.option = q.option AND s.depart_s BETWEEN q.ready2 AND q.ready2 + 5400 ORDER BY depart_s LIMIT 1) x ON true),
+e AS (SELECT *, coalesce(reach_s, depart_s) AS fin, min(coalesce(reach_s, depart_s)) OVER (PARTITION BY option ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS least FROM m),
+g AS (SELECT *, least IS NOT NULL AND (fin IS NULL OR least <= fin) AS folded FROM e),
+h AS (SELECT *, min(CASE WHEN NOT folded THEN place END) OVER (PARTITION BY option ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS into_place FROM g),
+k AS (SELECT *, count(*) FILTER (WHERE folded AND depart_s IS NOT NULL) OVER (PARTITION BY option, into_place) AS earlier, min(leave_s) FILTER (WHERE folded AND depart_s IS NOT NULL) OVER (PARTITION BY option, into_place) AS earlier_s FROM h)
+SELECT option, leave_s, arrive_s, later, depart_s, reach_s, earlier, earlier_s, depart_s - ready2 AS spare_s FROM k WHERE NOT folded"""
 )
 def timed_changes(spark, sf_dir):
-    """P10: the earliest second departure that each first one reaches within 90 minutes; dominated ones go."""
+    """P10: the second bus that leaves first after each of the next twelve first buses; first buses that gain nothing are folded into a later one."""
     x = lineitem(spark, sf_dir)
-    a, b = F.col("l_orderkey") * 37 % 80000, F.col("l_orderkey") * 41 % 90000
-    first = x.filter("l_returnflag = 'A'").groupBy(F.col("l_suppkey").alias("option"), a.alias("leave_s")).agg(F.max(a + F.col("l_quantity") * 60).cast("long").alias("arrive_s")).withColumn("transfer_m", F.col("option") % 350)
-    second = x.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("option"), b.alias("depart_s"), (b + F.col("l_quantity") * 50).cast("long").alias("reach_s")).distinct()
-    return planner.timed_connections(first, second).select("option", "leave_s", "arrive_s", "reach_s")
+    a, b, q = F.col("l_orderkey") * 37 % 150000, F.col("l_orderkey") * 41 % 170000, F.col("l_quantity")
+    options = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("option"), (F.abs("s_acctbal") / 10).alias("walk_m"), (F.col("s_suppkey") % 350).alias("transfer_m"))
+    first = x.filter("l_returnflag = 'A'").select(F.col("l_suppkey").alias("option"), a.alias("leave_s"), F.when(q < 45, (a + q * 60).cast("long")).alias("arrive_s"))
+    second = x.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("option"), b.alias("depart_s"), F.when(q < 48, (b + q * 50).cast("long")).alias("reach_s"))
+    return planner.timed_connections(options, first, second, F.lit(30000)).select("option", "leave_s", "arrive_s", "later", "depart_s", "reach_s", "earlier", "earlier_s", "spare_s")
 
 
 _OPEN = """p AS (SELECT o_orderkey AS pattern_id, o_orderpriority AS operator, 'L' || (o_custkey % 30) AS line, CASE o_orderkey % 6 WHEN 0 THEN true WHEN 1 THEN false END AS public_use, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 300 AS z, o_orderkey % 7 AS first_day FROM orders)"""

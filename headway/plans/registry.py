@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from headway.plans import aggregates, boards, calendar, estimators, histories, journeys, matching, passages, relations, sequences, spatial
+from headway.plans import aggregates, boards, calendar, estimators, histories, journeys, matching, passages, relations, sequences, spatial, timetables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (histories, sequences, aggregates, calendar, spatial, boards, estimators, journeys, matching, passages, relations):
+for part in (histories, sequences, aggregates, calendar, spatial, boards, estimators, journeys, matching, passages, relations, timetables):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

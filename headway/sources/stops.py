@@ -26,9 +26,9 @@ def judged(stops: DataFrame, box=SERVICE_BOX) -> DataFrame:
     reason = (
         F.when(~F.coalesce(F.col("StopType").isin(*BUS_STOP_TYPES), F.lit(False)), "not_a_bus_stop")
         .when(F.coalesce(F.lower(F.trim("Status")), F.lit("")) != "active", "not_active")
-        .when(lat.isNull() | lon.isNull() | F.isnan(lat) | F.isnan(lon), "unreadable_coordinate")
-        .when(~in_box(lat, lon, box), "outside_area")
-        .when(F.coalesce(F.trim("CommonName"), F.lit("")) == "", "unnamed")
+        .when(lat.isNull() | lon.isNull(), "unreadable_coordinate")
+        .when(~in_box(lat, lon, box), "outside_collected_area")
+        .when(F.coalesce(F.trim("CommonName"), F.lit("")) == "", "missing_name")
     )
     return stops.withColumns({"lat": lat, "lon": lon, "reason": reason})
 

@@ -54,7 +54,7 @@ def test_stop_register(spark, tmp_path):
     (tmp_path / "stops.csv").write_text("\n".join(lines))
     judged = stops.judged(stops.read(spark, str(tmp_path / "stops.csv")))
     got = {int(r["ATCOCode"]): r["reason"] for r in judged.collect()}
-    assert got == {0: None, 1: "not_a_bus_stop", 2: "not_active", 3: "unreadable_coordinate", 4: "outside_area", 5: "unnamed"}
+    assert got == {0: None, 1: "not_a_bus_stop", 2: "not_active", 3: "unreadable_coordinate", 4: "outside_collected_area", 5: "missing_name"}
     assert stops.refusals(judged).count() == 5
 
 
