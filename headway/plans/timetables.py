@@ -13,6 +13,8 @@ from headway.sources import timetables
 
 QUERIES, ORACLES, query = registering()
 
+_ORDER = ("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_discount", "l_tax")  # line numbers repeat
+
 _PROFILES = {
     "1-URGENT": "<RegularDayType><DaysOfWeek><MondayToFriday/></DaysOfWeek></RegularDayType><BankHolidayOperation><DaysOfNonOperation><AllBankHolidays/></DaysOfNonOperation></BankHolidayOperation>",
     "2-HIGH": "<RegularDayType><DaysOfWeek><Saturday/><Sunday/></DaysOfWeek></RegularDayType>",
@@ -26,14 +28,14 @@ _TERM = "<ServicedOrganisations><ServicedOrganisation><OrganisationCode>SCH</Org
 def _documents(spark, sf_dir, stops: str) -> DataFrame:
     """dataset, file, body: a document for each customer with orders; ``stops`` is an expression of a call's stop number."""
     x = lineitem(spark, sf_dir).withColumn("stop", F.concat(F.lit("A"), F.expr(stops)))
-    before = F.lag("stop").over(W.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    before = F.lag("stop").over(W.partitionBy("l_orderkey").orderBy(*_ORDER))
     part = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
     run = F.when(F.col("l_discount") != 0.1, part("RunTime", F.format_string("PT%dM30S", F.col("l_quantity").cast("int"))))
     far = F.when(F.col("l_tax") != 0.08, part("Distance", (F.col("l_partkey") % 1000).cast("string")))
     link = part("JourneyPatternTimingLink", F.concat(part("From", part("StopPointRef", before)), part("To", F.concat(F.lit("<StopPointRef><![CDATA["), F.col("stop"), F.lit("]]></StopPointRef>"))), F.coalesce(run, F.lit("")), F.coalesce(far, F.lit(""))))
-    sections = x.withColumn("link", link).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.coalesce("link", F.lit("")).alias("link")))), lambda r: r["link"]), "").alias("links"))
+    sections = x.withColumn("link", link).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*_ORDER, F.coalesce("link", F.lit("")).alias("link")))), lambda r: r["link"]), "").alias("links"))
     per = W.partitionBy("o_custkey").orderBy("o_orderkey")
-    o = orders(spark, sf_dir).withColumn("next", F.lead("o_orderkey").over(per)).join(sections, F.col("o_orderkey") == F.col("l_orderkey"))
+    o = orders(spark, sf_dir).join(sections, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("next", F.lead("o_orderkey").over(per))
     key = F.col("o_orderkey").cast("string")
     refs = F.concat(part("JourneyPatternSectionRefs", F.concat(F.lit("S"), key)), F.coalesce(part("JourneyPatternSectionRefs", F.concat(F.lit("S"), F.col("next").cast("string"))), F.lit("")))
     way = F.when(F.col("o_orderstatus") == "O", "<Direction>Outbound</Direction>").when(F.col("o_orderstatus") == "F", "<Direction> inbound </Direction>").otherwise("")
@@ -60,17 +62,21 @@ def _documents(spark, sf_dir, stops: str) -> DataFrame:
         F.lit("</Service></Services>"), part("VehicleJourneys", all_of("journeys")), F.lit(_TERM + "</TransXChange>"),
     )
     ymd = lambda d: F.date_format(d, "yyyyMMdd")
-    file = F.concat(op, F.lit("_"), line, F.lit("_x_"), ymd("a"), F.lit("_"), ymd("z"), F.lit("_"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(".xml"))
+    file = F.concat(op, F.lit("_"), line, F.lit("_"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("_"), ymd("a"), F.lit("_"), ymd("z"), F.lit("_1.xml"))
     return c.select(op.alias("dataset"), file.alias("file"), body.alias("body"), F.col("o_custkey").alias("customer"))
 
 
+def _customer():
+    return F.regexp_extract("file", r"_(\d{9})_", 1).cast("long")
+
+
 def _patterns(spark, sf_dir, stops: str) -> DataFrame:
     return timetables.patterns(timetables.read(timetables.named(_documents(spark, sf_dir, stops).drop("customer")).drop("operator", "line")))
 
 
 #: What the documents hold, read from the tables themselves: p has a pattern's calls with metres and seconds.
-_CALLS = """x AS (SELECT l_orderkey, l_linenumber, 'A' || {stops} AS stop, CASE WHEN l_tax <> 0.08 THEN l_partkey % 1000 END AS m, CASE WHEN l_discount <> 0.1 THEN CAST(l_quantity AS BIGINT) * 60 + 30 END AS s FROM lineitem),
-n AS (SELECT *, row_number() OVER w - 1 AS call_at, count(*) OVER (PARTITION BY l_orderkey) AS lines FROM x WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+_CALLS = """x AS (SELECT l_orderkey, (l_linenumber, l_suppkey, l_partkey, l_quantity, l_discount, l_tax) AS place, 'A' || {stops} AS stop, CASE WHEN l_tax <> 0.08 THEN l_partkey % 1000 END AS m, CASE WHEN l_discount <> 0.1 THEN CAST(l_quantity AS BIGINT) * 60 + 30 END AS s FROM lineitem),
+n AS (SELECT *, row_number() OVER w - 1 AS call_at, count(*) OVER (PARTITION BY l_orderkey) AS lines FROM x WINDOW w AS (PARTITION BY l_orderkey ORDER BY place)),
 sec AS (SELECT l_orderkey, call_at, stop, CASE WHEN count(*) FILTER (WHERE call_at > 0 AND m IS NULL) OVER w = 0 THEN sum(CASE WHEN call_at > 0 THEN m ELSE 0 END) OVER w END AS m,
   CASE WHEN count(*) FILTER (WHERE call_at > 0 AND s IS NULL) OVER w = 0 THEN sum(CASE WHEN call_at > 0 THEN s ELSE 0 END) OVER w END AS s FROM n WHERE lines > 1 WINDOW w AS (PARTITION BY l_orderkey ORDER BY call_at)),
 o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, row_number() OVER w - 1 AS pattern_at, lead(o_orderkey) OVER w AS next FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
@@ -87,7 +93,7 @@ _STOP = ("l_suppkey", "(l_suppkey % 3)")
 def timetable_calls(spark, sf_dir):
     """Sections joined to patterns, with metres and seconds from the first stop, unknown after anything undeclared."""
     found = _patterns(spark, sf_dir, _STOP[0]).select("file", "pattern_at", F.explode("calls").alias("c"))
-    return found.select(F.regexp_extract("file", r"_0*(\d+)\.xml$", 1).cast("long").alias("customer"), "pattern_at", "c.*")
+    return found.select(_customer().alias("customer"), "pattern_at", "c.*")
 
 
 _MERGED = f"""{_CALLS.format(stops=_STOP[1])},
@@ -133,7 +139,7 @@ SELECT o_custkey AS customer, CAST(pattern_at AS INTEGER) AS pattern_at, CASE pr
 )
 def timetable_rules(spark, sf_dir):
     """Rule parsing: each pattern's first journey's rule, and whether it runs on its order's day."""
-    found = _patterns(spark, sf_dir, _STOP[0]).select(F.regexp_extract("file", r"_0*(\d+)\.xml$", 1).cast("long").alias("customer"), "pattern_at", F.get("journeys", F.lit(0))["rule"].alias("r"))
+    found = _patterns(spark, sf_dir, _STOP[0]).select(_customer().alias("customer"), "pattern_at", F.get("journeys", F.lit(0))["rule"].alias("r"))
     o = orders(spark, sf_dir).join(lineitem(spark, sf_dir).select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
     o = o.select(F.col("o_custkey").alias("customer"), (F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("pattern_at"), F.col("o_orderdate").alias("day"))
     words = F.array_join(F.transform("r.serviced", lambda s: F.concat_ws(" ", s["mode"], s["kind"], F.array_join(s["organisations"], "+"), F.size(s["ranges"]).cast("string"))), ";")
