@@ -171,7 +171,9 @@ def peeled(paths: DataFrame, light: int = LIGHT, heavy: int = HEAVY) -> DataFram
 
     ``path`` names the path by its smallest conversation, ``ends`` is the number of conversations where it ends and else 0, ``size`` its turns.
     """
-    under = paths.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
+    paths = written(paths, "every-path")
+    # a table of its own, so that both sides of the join are dealt for it and a hot key's paths can be split
+    under = written(paths.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")), "under")
     by = W.partitionBy("path").orderBy("depth")
     small = (F.col("depth") > 0) & ((F.col("n") == 1) | (F.col("weight") <= light))
     top = lambda c: F.first(F.when(small, F.col(c)), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0))
