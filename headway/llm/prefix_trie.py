@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from headway.llm.common import removed, written
 
 #: Turns of paths under a node that one task peels; nodes that are peeled in one task at the top; ids in a chunk.
-LIGHT, HEAVY, CHUNK = 4096, 100_000, 16_384
+LIGHT, HEAVY, CHUNK = 512, 100_000, 16_384
 KEY = ["k1", "k2"]
 #: What a node is known by and has gathered.
 NODE = "k1 long, k2 long, depth int, p1 long, p2 long, conv_id long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long"
