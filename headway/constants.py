@@ -6,7 +6,7 @@ FUTURE_TOLERANCE_S = 120
 MAX_XML_BYTES, QUARANTINE_ROWS = 80_000_000, 500
 FRESH_S, AGEING_S, EXPIRY_S, PUBLICATION_STALE_S = 60, 150, 900, 120
 POLL_S, LEAST_POLL_S, MOST_BACKOFF_S = 20, 10, 300
-TRAIL_POINTS, TRAIL_S = 6, 240
+TRAIL_POINTS, TRAIL_S, KEPT_FIXES, AGE_CAP_S = 6, 240, 12, 900
 LATEST_WINDOW_H, MEASURE_WINDOW_H = 24, 1
 PATTERN_MIN_STOPS, HORIZON_DAYS, SHRINK_FLOOR = 5, 14, 0.5
 MATCH_MAX_M, AMBIGUITY_M = 500.0, 60.0
