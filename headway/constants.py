@@ -14,7 +14,7 @@ SHAPE_P95_M, SHAPE_MIN_REPORTS, SHAPE_WINDOW = 35.0, 30, 10
 PASSAGE_GAP_S, OFF_ROAD_M, MIN_REPORTS, BACKWARDS_M = 60.0, 40.0, 6, 5.0
 WALK_M, STOPS_NEAR, DIRECT_CANDIDATES, DIRECT_SHOWN = 900.0, 250, 24, 5
 CHANGE_CANDIDATES, CHANGE_SHOWN, TRANSFER_M, DETOUR, WALK_M_PER_MIN = 48, 4, 350.0, 1.3, 80.0
-RIDE_M_PER_STOP, CHANGE_PENALTY_M, CHANGE_ALLOWANCE_S = 450.0, 700.0, 120
+RIDE_M_PER_STOP, CHANGE_PENALTY_M, CHANGE_ALLOWANCE_S, DIRECT_REACH_M, NEARER_M = 450.0, 700.0, 120, 450, 200
 DIRECT_WINDOW_S, CHANGE_WINDOW_S, BOARD_LIMIT, BOARD_GRACE_S, BOARD_WINDOW_S = 180 * 60, 90 * 60, 8, 60, 180 * 60
 LATER_S, DIRECT_TIMES, FIRST_BUSES = 26 * 3600, 6, 12
 GRID_LAT, GRID_LON = 0.004, 0.006

@@ -18,6 +18,11 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.config(map=settings).getOrCreate()
 
 
+def settled(df):
+    """``df`` computed once for what reads it several times: a checkpoint in the shared folder where the session has one, else kept by the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table, read by Spark's own reader (any file system that it knows)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
