@@ -10,7 +10,8 @@ TRAIL_POINTS, TRAIL_S, KEPT_FIXES, AGE_CAP_S = 6, 240, 12, 900
 LATEST_WINDOW_H, MEASURE_WINDOW_H = 24, 1
 PATTERN_MIN_STOPS, HORIZON_DAYS, SHRINK_FLOOR = 5, 14, 0.5
 MATCH_MAX_M, AMBIGUITY_M = 500.0, 60.0
-SHAPE_P95_M, SHAPE_MIN_REPORTS, SHAPE_WINDOW = 35.0, 30, 10
+SHAPE_P95_M, SHAPE_MIN_REPORTS, SHAPE_WINDOW, WITHIN_M = 35.0, 30, 10, 30.0
+MAPPING_VERSION, COORD_TOLERANCE_DEG, GEOMETRY_TOLERANCE_M = 2, 1.5e-5, 30.0
 PASSAGE_GAP_S, OFF_ROAD_M, MIN_REPORTS, BACKWARDS_M = 60.0, 40.0, 6, 5.0
 WALK_M, STOPS_NEAR, DIRECT_CANDIDATES, DIRECT_SHOWN = 900.0, 250, 24, 5
 CHANGE_CANDIDATES, CHANGE_SHOWN, TRANSFER_M, DETOUR, WALK_M_PER_MIN = 48, 4, 350.0, 1.3, 80.0
