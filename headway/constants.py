@@ -21,6 +21,7 @@ LATER_S, DIRECT_TIMES, FIRST_BUSES = 26 * 3600, 6, 12
 GRID_LAT, GRID_LON = 0.004, 0.006
 DWELL_S, SPEED_WINDOW_S, STANDING_M_S, NEAR_M, MAX_M_S = 20, 180, 1.0, 1000.0, 20.0
 SAMPLE_S, HOLD_STALE_S, BIN_MIN, BOOTSTRAP, BOOTSTRAP_SEED = 5, 150, 0.05, 1000, 20260929
+POLL_WAIT_S, SHOWN_MIN, HORIZON_S, LEAST_LEAD_S = 10, (2, 10), 1200, 60
 ANCHOR_MIN, ANCHOR_PASSAGES, ANCHOR_STOPS = 3.0, 20, 10
 LONDON = "Europe/London"
 
