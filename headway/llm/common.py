@@ -51,11 +51,20 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row of each key, always the same: that whose text is first, by code point, then that whose columns hash lowest."""
     hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
     order = [F.col("text").asc_nulls_first(), F.xxhash64(*hashed)]
-    return df.withColumn("__place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__place = 1").drop("__place")
+    place = fresh(df, "__place")
+    return df.withColumn(place, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(place) == 1).drop(place)
 
 
 def ascii_lower(text: Column) -> Column:

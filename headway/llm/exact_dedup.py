@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.common import ascii_lower, first_rows, removed, scratch_path, written
+from headway.llm.common import ascii_lower, first_rows, fresh, removed, scratch_path, written
 
 DIGEST = "text_sha256"
 
@@ -113,7 +113,7 @@ def decisions(docs: DataFrame, index: DigestIndex, batch: str | None = None) ->
 
 def kept_documents(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, one of each new group, with all their columns."""
-    mark, key = "__digest", "__keep_id"
+    mark, key = fresh(docs, "__digest"), fresh(docs, "__keep_id")
     digests = with_digest(docs.select("doc_id", "text")).select("doc_id", DIGEST)
     groups = index.ingest(digests, batch).filter("is_new").select(F.col(DIGEST).alias(mark), F.col("keep_id").alias(key))
     rows = with_digest(docs, mark)

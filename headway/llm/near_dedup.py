@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.common import Rolling, WordHashes, first_rows, mix64, portions, removed, written
+from headway.llm.common import Rolling, WordHashes, first_rows, fresh, mix64, portions, removed, written
 
 SHINGLE, HASHES, ROWS = 5, 160, 4
 BANDS = HASHES // ROWS
@@ -286,6 +286,9 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = written(signatures(docs), "signatures")
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     named = written(full.groupBy("low", "high").agg(F.min("doc_id").alias("id")), "classes")
+    rows = signed.select("doc_id", "n_shingles", "low", "high")
+    rows = rows.join(named, ["low", "high"], "left").withColumn("id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("id")).otherwise(F.col("doc_id")))
+    rows = written(rows.select("doc_id", "n_shingles", "id"), "rows")
     # one row per class: that of the smallest doc_id (rows that repeat it carry the same set)
     first = full.join(named, (full["doc_id"] == named["id"]) & (full["low"] == named["low"]) & (full["high"] == named["high"]), "left_semi")
     classes = written(first.select(F.col("doc_id").alias("id"), "n_shingles", "signature", "bands"), "reps")
@@ -309,17 +312,20 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = buckets.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(shared, "id", "left_semi")
     texts = written(texts, "texts")
-    links = confirm(likely, texts)
+    links = confirm(likely, texts).unionByName(_own_links(rows))
     comps = written(components(links), "components")
     more = across(buckets, classes, comps, texts)
     if not more.isEmpty():
         comps = written(components(links.unionByName(more)), "components")
-    rows = signed.select("doc_id", "n_shingles", "low", "high")
-    rows = rows.join(named, ["low", "high"], "left").withColumn("id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("id")).otherwise(F.col("doc_id")))
-    rows = written(rows.select("doc_id", "n_shingles", "id"), "rows")
     return rows.join(comps, "id", "left").withColumn("component_id", F.coalesce("component", "id")), classes
 
 
+def _own_links(rows: DataFrame) -> DataFrame:
+    """(a, b) between the classes of rows that repeat a doc_id with different sets, or with none."""
+    per = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("most")).filter("b < most").select("doc_id", "b")
+    return rows.join(per, "doc_id").filter("id > b").select(F.col("id").alias("a"), "b").distinct()
+
+
 def decisions(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     rows, _ = classes_of(docs)
@@ -328,8 +334,9 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one per component and all without doc_id, with all their columns."""
-    stay = written(decisions(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
-    rows = docs.join(stay, docs["doc_id"] == stay["__kept_id"], "left_semi")
+    kept = fresh(docs, "__kept_id")
+    stay = written(decisions(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(kept)).distinct(), "kept")
+    rows = docs.join(stay, docs["doc_id"] == stay[kept], "left_semi")
     return first_rows(rows, ["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
 
 

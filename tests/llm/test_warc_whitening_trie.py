@@ -248,3 +248,25 @@ def test_no_conversations(spark):
 def test_op13_on_the_smallest_tables(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert nodes(prefix_trie.op13_prefix_trie(spark, sf)) == brute_trie(rows)
+
+
+# ---- earlier operators on rows that repeat ids, and columns that clash
+
+
+def test_near_copies_of_rows_that_repeat_an_id(spark):
+    from headway.llm import near_dedup
+
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(3, b), (5, a), (5, b), (9, a), (11, "alone here"), (5, None), (20, "x"), (21, "x"), (21, "")]
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in near_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 36): (3, True), (5, 36): (3, False), (9, 36): (3, False), (11, 1): (11, True), (5, 0): (3, False), (20, 1): (20, True), (21, 1): (20, False), (21, 0): (20, False)}
+
+
+def test_kept_documents_with_columns_of_the_same_names(spark):
+    from headway.llm import exact_dedup, near_dedup
+
+    rows = [(1, "same text of some words", 7, 8, 9, 10), (2, "same text of some words", 7, 8, 9, 10), (3, "other", 7, 8, 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __place long, __digest long, __keep_id long, __kept_id long")
+    for kept in (near_dedup.kept_documents(docs), exact_dedup.kept_documents(docs, exact_dedup.DigestIndex(spark, scratch_path(spark, "index")))):
+        assert kept.columns == docs.columns
+        assert {tuple(r)[2:] for r in kept.collect()} == {(7, 8, 9, 10)} and kept.count() == 2
