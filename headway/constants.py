@@ -8,6 +8,7 @@ FRESH_S, AGEING_S, EXPIRY_S, PUBLICATION_STALE_S = 60, 150, 900, 120
 POLL_S, LEAST_POLL_S, MOST_BACKOFF_S = 20, 10, 300
 TRAIL_POINTS, TRAIL_S, KEPT_FIXES, AGE_CAP_S = 6, 240, 12, 900
 LATEST_WINDOW_H, MEASURE_WINDOW_H = 24, 1
+REPLAY_LEAD_MS, REPLAY_LAG_MS = 120_000, 30_000
 PATTERN_MIN_STOPS, HORIZON_DAYS, SHRINK_FLOOR = 5, 14, 0.5
 MATCH_MAX_M, AMBIGUITY_M = 500.0, 60.0
 SHAPE_P95_M, SHAPE_MIN_REPORTS, SHAPE_WINDOW, WITHIN_M = 35.0, 30, 10, 30.0

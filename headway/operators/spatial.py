@@ -25,6 +25,16 @@ def band_join(left: DataFrame, right: DataFrame, l_at: str, r_at: str, width: fl
     return a.join(b, on).filter(F.abs(F.col(l_at) - F.col(r_at)) <= width).drop("__cell", "__near", *[b[k] for k in keys])
 
 
+def meets(spans: DataFrame, moments: DataFrame, start: str, end: str, at: str, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a span [start, end) and a moment within it, through cells of ``width``; a span should not be much longer than one."""
+    a = spans.filter(F.col(start) < F.col(end)).withColumn("__cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+    b = moments.withColumn("__at", F.floor(F.col(at) / width))
+    on = a["__cell"] == b["__at"]
+    for k in keys:
+        on = on & (a[k] == b[k])
+    return a.join(b, on).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__cell", "__at", *[b[k] for k in keys])
+
+
 def near_join(left: DataFrame, right: DataFrame, radius_m: float, cell_lat: float, cell_lon: float) -> DataFrame:
     """Pairs of left (lat, lon) and right (to_lat, to_lon) within ``radius_m``, with ``metres``; as many cells around as the radius reaches, up to ``MOST_LAT``."""
     degree = math.radians(1) * RADIUS_M
