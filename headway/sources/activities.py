@@ -1,7 +1,8 @@
 """Vehicle activities from raw feed payloads, and captures that are checked against their names.
 
 A payload is one row (``path``, ``content``, ``retrieved_at``); it becomes one row per activity with all fields as the text that
-stands there. Everything but the unpacking of archives is column expressions, so payloads are parsed where they are read.
+stands there. An activity is cut out by its tags and read by Spark's XML reader, so character data and references mean what they say; only
+archives pass through Python. Payloads are parsed where they are read.
 Payloads with a document that declares a type or entities, is too large or is broken off are refused whole; ``refusals`` has a
 row of each with the reason.
 """
@@ -21,10 +22,12 @@ from headway.operators.quality import bearing
 
 #: Columns and the elements they are read from, the first that is not empty.
 FIELDS = {
-    "recorded_at": ("RecordedAtTime",), "line": ("LineRef",), "direction": ("DirectionRef",), "operator": ("OperatorRef",), "vehicle": ("VehicleRef",),
-    "destination": ("DestinationName",), "origin": ("OriginName",), "aimed_departure": ("OriginAimedDepartureTime",),
-    "journey_ref": ("DatedVehicleJourneyRef", "VehicleJourneyRef"), "latitude": ("Latitude",), "longitude": ("Longitude",), "bearing_raw": ("Bearing",),
+    "recorded_at": ("RecordedAtTime",), "line": ("MonitoredVehicleJourney.LineRef",), "direction": ("MonitoredVehicleJourney.DirectionRef",), "operator": ("MonitoredVehicleJourney.OperatorRef",), "vehicle": ("MonitoredVehicleJourney.VehicleRef",),
+    "destination": ("MonitoredVehicleJourney.DestinationName",), "origin": ("MonitoredVehicleJourney.OriginName",), "aimed_departure": ("MonitoredVehicleJourney.OriginAimedDepartureTime",),
+    "journey_ref": ("MonitoredVehicleJourney.FramedVehicleJourneyRef.DatedVehicleJourneyRef", "MonitoredVehicleJourney.VehicleJourneyRef"), "latitude": ("MonitoredVehicleJourney.VehicleLocation.Latitude",), "longitude": ("MonitoredVehicleJourney.VehicleLocation.Longitude",), "bearing_raw": ("MonitoredVehicleJourney.Bearing",),
 }
+_TEXT = "LineRef:string,DirectionRef:string,OperatorRef:string,VehicleRef:string,DestinationName:string,OriginName:string,OriginAimedDepartureTime:string,VehicleJourneyRef:string,Bearing:string"
+ACTIVITY = f"RecordedAtTime string, MonitoredVehicleJourney struct<{_TEXT},FramedVehicleJourneyRef:struct<DatedVehicleJourneyRef:string>,VehicleLocation:struct<Latitude:string,Longitude:string>>"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 
@@ -70,15 +73,17 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(len(batch)):
             body = batch.column(0)[k].as_py()
-            members, reason = archive(body) if body and body[:2] == b"PK" and len(body) <= MAX_XML_BYTES else ([body], None)
+            members, reason = archive(body)
             arrays = [pa.array([members], pa.list_(pa.binary())), pa.array([reason], pa.string()), *batch.slice(k, 1).columns[1:]]
             yield pa.RecordBatch.from_arrays(arrays, names=["members", "refused", "source_hash", "retrieved_at"])
 
 
 def unpacked(payloads: DataFrame) -> DataFrame:
-    """source_hash, retrieved_at, members (an archive's XML documents, or the content alone) and reason, null where all of them can be parsed."""
+    """source_hash, retrieved_at, members (an archive's XML documents, or the content alone) and reason, null where all of them can be parsed. Only archives pass through Python."""
     rows = payloads.select("content", F.sha2("content", 256).alias("source_hash"), "retrieved_at")
-    rows = rows.mapInArrow(_unpack, "members array<binary>, refused string, source_hash string, retrieved_at timestamp")
+    zipped = F.coalesce(F.substring("content", 1, 2) == F.lit(b"PK"), F.lit(False)) & (F.length("content") <= MAX_XML_BYTES)
+    plain = rows.filter(~zipped).select(F.array("content").alias("members"), F.lit(None).cast("string").alias("refused"), "source_hash", "retrieved_at")
+    rows = plain.unionByName(rows.filter(zipped).mapInArrow(_unpack, "members array<binary>, refused string, source_hash string, retrieved_at timestamp"))
     reasons = F.filter(F.transform("members", refusal), lambda r: r.isNotNull())
     return rows.select("source_hash", "retrieved_at", "members", F.coalesce("refused", F.get(reasons, F.lit(0))).alias("reason"))
 
@@ -99,7 +104,8 @@ def parsed(read: DataFrame) -> DataFrame:
     each = F.regexp_extract_all(plain, F.lit(r"(?s)<VehicleActivity(?:\s[^>]*)?>.*?</VehicleActivity\s*>"), F.lit(0))
     rows = read.filter("reason IS NULL").select("source_hash", "retrieved_at", F.explode("members").alias("member"))
     rows = rows.select("source_hash", "retrieved_at", F.explode(each).alias("xml"))
-    first = lambda names: F.coalesce(*[F.nullif(element(F.col("xml"), n), F.lit("")) for n in names])
+    rows = rows.withColumn("a", F.from_xml("xml", ACTIVITY, {"mode": "PERMISSIVE"}))
+    first = lambda names: F.coalesce(*[F.nullif(F.trim(f"a.{n}"), F.lit("")) for n in names])
     rows = rows.select("source_hash", "retrieved_at", *[first(names).alias(c) for c, names in FIELDS.items()])
     heading = bearing(F.col("bearing_raw"))
     return rows.withColumns({"line": F.coalesce("line", F.lit("Unspecified")), "bearing": heading["degrees"], "bearing_status": heading["status"]})

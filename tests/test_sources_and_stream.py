@@ -36,6 +36,9 @@ def test_activities(spark):
     assert set(got) == {"V1", "V2", "V3"}
     assert (got["V1"]["operator"], got["V1"]["journey_ref"], got["V1"]["line"], got["V1"]["bearing"], got["V1"]["bearing_status"]) == ("T&T", "J1", "142", 0.0, "reported")
     assert (got["V2"]["line"], got["V2"]["bearing_status"], got["V2"]["bearing"]) == ("Unspecified", "invalid", None)
+    odd = payload(activity("<![CDATA[V & 4]]>", line="<LineRef>&#49;5&amp;A</LineRef>"))
+    more = A.activities(spark.createDataFrame([("e", bytearray(odd))], "path string, content binary").withColumn("retrieved_at", F.current_timestamp())).first()
+    assert (more["vehicle"], more["line"]) == ("V & 4", "15&A")
     assert got["V3"]["bearing_status"] == "absent" and got["V1"]["source_hash"] == hashlib.sha256(good).hexdigest()
 
 
