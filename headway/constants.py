@@ -11,7 +11,7 @@ LATEST_WINDOW_H, MEASURE_WINDOW_H = 24, 1
 REPLAY_LEAD_MS, REPLAY_LAG_MS = 120_000, 30_000
 PATTERN_MIN_STOPS, HORIZON_DAYS, SHRINK_FLOOR = 5, 14, 0.5
 MATCH_MAX_M, AMBIGUITY_M = 500.0, 60.0
-SHAPE_P95_M, SHAPE_MIN_REPORTS, SHAPE_WINDOW, WITHIN_M = 35.0, 30, 10, 30.0
+SHAPE_P95_M, SHAPE_MIN_REPORTS, SHAPE_WINDOW, WITHIN_M, SHARED_M = 35.0, 30, 10, 30.0, 10.0
 MAPPING_VERSION, COORD_TOLERANCE_DEG, GEOMETRY_TOLERANCE_M = 2, 1.5e-5, 30.0
 PASSAGE_GAP_S, OFF_ROAD_M, MIN_REPORTS, BACKWARDS_M = 60.0, 40.0, 6, 5.0
 WALK_M, STOPS_NEAR, DIRECT_CANDIDATES, DIRECT_SHOWN = 900.0, 250, 24, 5

@@ -75,3 +75,20 @@ def new_reports(df: DataFrame, keys: list[str], at: str, order: list[str]) -> Da
     """Rows later than everything that their key had before, by arrival order; the first row of a key counts as nothing."""
     before = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return df.withColumn("__most", F.max(at).over(before)).filter(F.col(at) > F.col("__most")).drop("__most")
+
+
+def global_gaps(df: DataFrame, at: str) -> DataFrame:
+    """``df`` with ``gap_s``, seconds since the row before in time over the whole table. Rows are ordered within their day; a day's first row meets the last of the day before in a table of days."""
+    day = F.to_date(at)
+    within = W.partitionBy("__day").orderBy(at)
+    rows = df.withColumn("__day", day).withColumn("__before", F.lag(at).over(within))
+    days = df.groupBy(day.alias("__day")).agg(F.max(at).alias("__last"))
+    days = days.select("__day", F.lag("__last").over(W.orderBy("__day")).alias("__carried"))  # one row a day
+    met = rows.join(days, "__day")
+    return met.withColumn("gap_s", (F.unix_micros(at) - F.unix_micros(F.coalesce("__before", "__carried"))) / 1e6).drop("__day", "__before", "__carried")
+
+
+def in_window(df: DataFrame, at: str, start: Column, end: Column, day: str | None = None) -> DataFrame:
+    """Rows from ``start`` to ``end``, both included. ``day``: the date column that the files are laid out by, so that other days are not read."""
+    kept = df.filter(F.col(at).between(start, end))
+    return kept.filter(F.col(day).between(F.to_date(start), F.to_date(end))) if day else kept

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from headway.constants import COORD_TOLERANCE_DEG, GEOMETRY_TOLERANCE_M, MAPPING_VERSION, MEAN_RADIUS_M, PLAIN_DEGREE_M, SHAPE_MIN_REPORTS, SHAPE_P95_M, SHAPE_WINDOW, WITHIN_M
+from headway.constants import COORD_TOLERANCE_DEG, GEOMETRY_TOLERANCE_M, MAPPING_VERSION, MEAN_RADIUS_M, PLAIN_DEGREE_M, SHAPE_MIN_REPORTS, SHAPE_P95_M, SHAPE_WINDOW, SHARED_M, WITHIN_M
 from headway.functions import stats
 from headway.functions.geo import metres
 from headway.operators.matching import match
-from headway.operators.sequences import asof
+from headway.operators.sequences import asof, islands
 
 OCCURRENCES = "array<struct<index:int,stop:string,offset:double>>"
 #: Metres that a cell of the segment index reaches, and its size in degrees of latitude; both are only about how many segments a report meets.
@@ -182,3 +182,18 @@ def reports_by_pattern(reports: DataFrame, lines: DataFrame) -> DataFrame:
         on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
     return reports.join(once, on).drop(*[f"__{c}" for c in same])
 
+
+
+def shared_roads(sets: DataFrame, vertices: DataFrame, tolerance_m: float = SHARED_M) -> DataFrame:
+    """(set_id, piece, from_m, to_m): the stretches of a set's checked road that all its other roads come within ``tolerance_m`` of, in metres along it; the whole road where there is no other.
+
+    sets: set_id, pattern_id, checked (one true in each set); vertices: pattern_id, vertex, lat, lon. Each vertex of the checked road is tested against every other; stretches are runs of shared vertices.
+    """
+    own = sets.filter("checked").select("set_id", "pattern_id")
+    road = own.join(with_lengths(vertices, ["pattern_id"]), "pattern_id").select("set_id", "vertex", "along", "lat", "lon")
+    others = sets.filter(~F.col("checked")).select("set_id", "pattern_id")
+    asked = road.select("set_id", "vertex", "lat", "lon").join(others, "set_id")
+    near = offsets_from(asked, vertices).groupBy("set_id", "vertex").agg(F.bool_and(F.coalesce(F.col("off_m") <= tolerance_m, F.lit(False))).alias("shared"))
+    rows = road.join(near, ["set_id", "vertex"], "left").withColumn("shared", F.coalesce("shared", F.lit(True)))
+    runs = islands(rows, ["set_id"], ["vertex"], ["shared"]).filter("shared").groupBy("set_id", "island").agg(F.min("along").alias("from_m"), F.max("along").alias("to_m")).filter("to_m > from_m")
+    return runs.select("set_id", F.row_number().over(W.partitionBy("set_id").orderBy("from_m")).alias("piece"), "from_m", "to_m")

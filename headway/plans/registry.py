@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from headway.plans import aggregates, boards, calendar, changes, cycles, estimators, histories, journeys, matching, motion, passages, publishing, relations, roads, scoring, sequences, spatial, timetables
+from headway.plans import aggregates, boards, calendar, changes, cycles, estimators, histories, journeys, matching, motion, passages, publishing, relations, release, roads, scoring, sequences, spatial, timetables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (histories, sequences, aggregates, calendar, spatial, boards, estimators, journeys, matching, passages, relations, timetables, cycles, changes, roads, scoring, publishing, motion):
+for part in (histories, sequences, aggregates, calendar, spatial, boards, estimators, journeys, matching, passages, relations, timetables, cycles, changes, roads, scoring, publishing, motion, release):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
