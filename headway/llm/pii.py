@@ -27,7 +27,10 @@ taken; rows without doc_id are searched but not trained on; an empty table gives
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -195,16 +198,33 @@ class Field:
         return self.edges["skip"]
 
     def labels(self, base: list[list[Span]]) -> np.ndarray:
-        """0 or 1 + the kind of a base span that overlaps the word."""
+        """0 or 1 + the kind of a base span that overlaps the word; of several kinds the first. Spans of one kind do not overlap, so both lists are in order."""
         out = np.zeros(len(self.spans), np.int64)
-        for i, (t, (start, end)) in enumerate(zip(self.text, self.spans, strict=True)):
-            for kind, s, e in base[t]:
-                if s < end and start < e:
-                    out[i] = 1 + kind
-                    break
+        starts, ends = np.array(self.spans, np.int64).reshape(-1, 2).T
+        bounds = np.searchsorted(np.array(self.text, np.int64), np.arange(len(base) + 1))
+        for t, spans in enumerate(base):
+            words = slice(bounds[t], bounds[t + 1])
+            for kind in range(len(KINDS) - 1, -1, -1):
+                own = np.array(sorted((s, e) for k, s, e in spans if k == kind), np.int64).reshape(-1, 2)
+                if len(own):
+                    at = np.searchsorted(own[:, 1], starts[words], side="right")  # the first span that ends after the word begins
+                    hit = (at < len(own)) & (own[np.minimum(at, len(own) - 1), 0] < ends[words])
+                    out[words][hit] = 1 + kind
         return out
 
 
+class Taken:
+    """Whether a stretch of a text overlaps one of its spans."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts = sorted(s for _, s, _ in spans)
+        self.reach = list(itertools.accumulate((e for _, _, e in sorted(spans, key=lambda x: x[1])), max))
+
+    def overlaps(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end)
+        return k > 0 and self.reach[k - 1] > start
+
+
 class Model:
     def __init__(self):
         self.weights = np.zeros((BUCKETS, LABELS), np.float32)
@@ -254,12 +274,11 @@ class Model:
 
 
 def _parts(texts: list[str]) -> list[tuple[Field, np.ndarray, np.ndarray]]:
-    """The texts as fields of about ``PART`` nodes, as long as there are at most ``NODES`` in all: each with labels and whether they are observed."""
+    """The texts, in their order, as fields of about ``PART`` nodes and at most ``NODES`` in all (a text that would pass that is left out): each with labels and whether they are observed."""
     out, group, held, total = [], [], 0, 0
     for k, text in enumerate(texts):
         n = len(tokens(text))
-        if total + n > NODES and total:
-            break
+        n = n if total + n <= NODES or not total else 0
         total, held = total + n, held + n
         if n:
             group.append(text)
@@ -335,6 +354,7 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Model) -> list[
     best[(p.max(1) < SURE) | (known > 0) | ~field.candidate] = 0  # a word of a base span ends a run, so that its neighbours are still added
     adjacent = np.zeros(len(best), bool)
     adjacent[field.chain[:, 1]] = True
+    taken = [Taken(b) for b in base]
     i = 0
     while i < len(best):
         j = i + 1
@@ -347,7 +367,7 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Model) -> list[
                 start += 1
             while end > start and text[end - 1] in EDGE:
                 end -= 1
-            if start < end and _may_be(int(best[i]) - 1, text[start:end]) and not any(s < end and start < e for _, s, e in base[field.text[i]]):
+            if start < end and _may_be(int(best[i]) - 1, text[start:end]) and not taken[field.text[i]].overlaps(start, end):
                 out[field.text[i]].append((int(best[i]) - 1, start, end))
         i = j
     return out
@@ -405,12 +425,25 @@ def _find(shared):
     return of
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, their digest, all spans, and how many the field added."""
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if len(b)]
+    if held:
+        table = pa.Table.from_batches(held).sort_by([("place", "ascending"), ("doc_id", "ascending")])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(table.column("text").to_pylist()))], pa.binary())], names=["model"])
+
+
+def fitted(docs: DataFrame) -> Model:
+    """The model of at most ``SAMPLE`` documents, those first by a hash of doc_id and in its order, trained in one task: no text comes to the driver."""
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
-    chosen = first_rows(rows.join(F.broadcast(ids), "doc_id"), ["doc_id"])  # at most SAMPLE rows
-    model = train(chosen.toArrow().sort_by("doc_id").column("text").to_pylist())
+    chosen = first_rows(rows.join(F.broadcast(ids), "doc_id"), ["doc_id"]).withColumn("place", F.xxhash64("doc_id"))  # at most SAMPLE rows
+    models = chosen.repartition(1).mapInArrow(_fit, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else train([])
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, counts of base spans by kind, their digest, all spans, and how many the field added."""
+    model = fitted(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     return docs.select("doc_id", "text").mapInArrow(_find(shared), kinds)
