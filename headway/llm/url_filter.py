@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm.common import LOWER, UPPER, mix64, platt, sigmoid
+from headway.llm.common import LOWER, UPPER, mix64, platt, removed, sigmoid, written
 
 #: (verdict, host, path) of the contract.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-SAMPLE, BUCKETS, GRAMS = 20_000, 1 << 16, (2, 3, 4)
+SAMPLE, LONGEST, BUCKETS, GRAMS = 20_000, 2048, 1 << 16, (2, 3, 4)
 EPOCHS, BATCH, RATE, RIDGE, SEED = 6, 256, 0.3, 1e-6, 7
 #: Characters of a portion of urls.
 PORTION = 500_000
@@ -132,14 +132,16 @@ def _judge(shared):
 
 
 def fitted(labelled: DataFrame) -> Regression:
-    """The regression of a table of host, path, verdict. Every task sends its part of a sample of at most ``SAMPLE`` rows."""
+    """The regression of a table of host, path, verdict. Urls that repeat count once; every task sends its part of a sample of at most ``SAMPLE`` urls of at most ``LONGEST`` characters."""
     known = labelled.filter("verdict IN ('allow', 'block')").select(F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+    known = written(known.filter(F.length("host") + F.length("path") <= LONGEST).distinct(), "labelled")
     counts = {r["verdict"]: r["count"] for r in known.groupBy("verdict").count().collect()}  # two rows
     chosen = F.lit(False)
     for verdict, count in sorted(counts.items()):
         share = min(1.0, 0.45 * SAMPLE / count) if count > SAMPLE // 2 else 1.0  # the hash scatters about it, far less than up to a half
         chosen |= (F.col("verdict") == verdict) & (F.pmod(F.xxhash64("host", "path"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    rows = sorted(tuple(r) for r in known.filter(chosen).distinct().collect())
+    rows = sorted(tuple(r) for r in known.filter(chosen).collect())
+    removed(known)
     return Regression().train([r[:2] for r in rows], np.array([r[2] == "block" for r in rows], float))
 
 

@@ -270,3 +270,47 @@ def test_kept_documents_with_columns_of_the_same_names(spark):
     for kept in (near_dedup.kept_documents(docs), exact_dedup.kept_documents(docs, exact_dedup.DigestIndex(spark, scratch_path(spark, "index")))):
         assert kept.columns == docs.columns
         assert {tuple(r)[2:] for r in kept.collect()} == {(7, 8, 9, 10)} and kept.count() == 2
+
+
+def test_labels_of_words_by_all_pairs():
+    from headway.llm import pii
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["a@b.co", "+44 20 7946 0958", "10.0.0.1", "4111 1111 1111 1111", "word", "12345", "3.3.3.3.3"]) for _ in range(rng.randrange(0, 60))) for _ in range(40)]
+    field, base = pii.Field(texts), [pii.base_spans(t) for t in texts]
+    want = []
+    for t, (start, end) in zip(field.text, field.spans, strict=True):
+        want.append(next((1 + kind for kind, s, e in sorted(base[t]) if s < end and start < e), 0))
+    assert field.labels(base).tolist() == want and len(set(want)) > 3
+    for spans in base:
+        taken = pii.Taken(spans)
+        for _ in range(50):
+            a = rng.randrange(0, 400)
+            b = a + rng.randrange(1, 40)
+            assert taken.overlaps(a, b) == any(s < b and a < e for _, s, e in spans)
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    from headway.llm import pii
+
+    model = pii.Model()
+    took = []
+    for n in (20_000, 80_000):
+        text = " ".join(f"10.0.{k % 250}.{k % 99}" for k in range(n))
+        began = time.process_time()
+        base = [pii.base_spans(text)]
+        pii.Field([text]).labels(base)
+        pii.added_spans([text], base, model)
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * took[0] * 1.8
+
+
+def test_urls_that_repeat_count_once(spark):
+    from headway.llm import url_filter
+
+    rows = [(f"h{k % 20}.net", "/es/x", "block") for k in range(60_000)] + [(f"g{k}.com", "/en/", "allow") for k in range(300)]
+    df = spark.createDataFrame(rows, "host string, path string, verdict string")
+    model = url_filter.fitted(df)
+    assert min(model.scores(["h1.net", "h19.net"], ["/es/x", "/es/x"])) > 0.5 and model.scores(["g7.com"], ["/en/"])[0] < 0.5
