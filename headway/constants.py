@@ -1,29 +1,25 @@
 """Constants that decide results, in one place. Fixed values of the domain."""
 
-ARCHIVE_BOX = (-2.30, 53.42, -2.18, 53.51)  # west, south, east, north; both ends belong
-SERVICE_BOX = (-2.36, 53.40, -2.16, 53.53)
+SERVICE_BOX = (-2.36, 53.40, -2.16, 53.53)  # west, south, east, north; both ends belong
 FUTURE_TOLERANCE_S = 120
-MAX_XML_BYTES, QUARANTINE_ROWS = 80_000_000, 500
+MAX_XML_BYTES = 80_000_000
 FRESH_S, AGEING_S, EXPIRY_S, PUBLICATION_STALE_S = 60, 150, 900, 120
-POLL_S, LEAST_POLL_S, MOST_BACKOFF_S = 20, 10, 300
 TRAIL_POINTS, TRAIL_S, KEPT_FIXES, AGE_CAP_S = 6, 240, 12, 900
-LATEST_WINDOW_H, MEASURE_WINDOW_H = 24, 1
 REPLAY_LEAD_MS, REPLAY_LAG_MS = 120_000, 30_000
 PATTERN_MIN_STOPS, HORIZON_DAYS, SHRINK_FLOOR = 5, 14, 0.5
 MATCH_MAX_M, AMBIGUITY_M = 500.0, 60.0
 SHAPE_P95_M, SHAPE_MIN_REPORTS, SHAPE_WINDOW, WITHIN_M, SHARED_M = 35.0, 30, 10, 30.0, 10.0
 MAPPING_VERSION, COORD_TOLERANCE_DEG, GEOMETRY_TOLERANCE_M = 2, 1.5e-5, 30.0
 PASSAGE_GAP_S, OFF_ROAD_M, MIN_REPORTS, BACKWARDS_M = 60.0, 40.0, 6, 5.0
-WALK_M, STOPS_NEAR, DIRECT_CANDIDATES, DIRECT_SHOWN = 900.0, 250, 24, 5
-CHANGE_CANDIDATES, CHANGE_SHOWN, TRANSFER_M, DETOUR, WALK_M_PER_MIN = 48, 4, 350.0, 1.3, 80.0
+WALK_M, STOPS_NEAR, DIRECT_CANDIDATES = 900.0, 250, 24
+CHANGE_CANDIDATES, TRANSFER_M, DETOUR, WALK_M_PER_MIN = 48, 350.0, 1.3, 80.0
 RIDE_M_PER_STOP, CHANGE_PENALTY_M, CHANGE_ALLOWANCE_S, DIRECT_REACH_M, NEARER_M = 450.0, 700.0, 120, 450, 200
 DIRECT_WINDOW_S, CHANGE_WINDOW_S, BOARD_LIMIT, BOARD_GRACE_S, BOARD_WINDOW_S = 180 * 60, 90 * 60, 8, 60, 180 * 60
 LATER_S, DIRECT_TIMES, FIRST_BUSES = 26 * 3600, 6, 12
 GRID_LAT, GRID_LON = 0.004, 0.006
 DWELL_S, SPEED_WINDOW_S, STANDING_M_S, NEAR_M, MAX_M_S = 20, 180, 1.0, 1000.0, 20.0
-SAMPLE_S, HOLD_STALE_S, BIN_MIN, BOOTSTRAP, BOOTSTRAP_SEED = 5, 150, 0.05, 1000, 20260929
+SAMPLE_S, HOLD_STALE_S, BIN_MIN, BOOTSTRAP_SEED = 5, 150, 0.05, 20260929
 POLL_WAIT_S, SHOWN_MIN, HORIZON_S, LEAST_LEAD_S = 10, (2, 10), 1200, 60
-ANCHOR_MIN, ANCHOR_PASSAGES, ANCHOR_STOPS = 3.0, 20, 10
 LONDON = "Europe/London"
 
 # Four Earth models, each used where the measure it is compared with was made with it.

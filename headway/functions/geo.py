@@ -19,11 +19,6 @@ def metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float
     return F.hypot(x, F.radians(lat2 - lat1)) * radius
 
 
-def plane_metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column, degree: float = DEGREE_M) -> Column:
-    """Distance with so many metres to a degree and the cosine at the first point."""
-    return F.hypot((lon2 - lon1) * F.cos(F.radians(lat1)), lat2 - lat1) * degree
-
-
 def in_box(lat: Column, lon: Column, box: tuple[float, float, float, float]) -> Column:
     west, south, east, north = box
     return lon.between(west, east) & lat.between(south, north)

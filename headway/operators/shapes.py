@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from headway.constants import COORD_TOLERANCE_DEG, GEOMETRY_TOLERANCE_M, MAPPING_VERSION, MEAN_RADIUS_M, PLAIN_DEGREE_M, SHAPE_MIN_REPORTS, SHAPE_P95_M, SHAPE_WINDOW, SHARED_M, WITHIN_M
 from headway.functions import stats
-from headway.functions.geo import metres
+from headway.functions.geo import metres, polyline_points
 from headway.operators.matching import match
 from headway.operators.sequences import asof, islands
 
@@ -29,6 +29,11 @@ def windows(stops: Column, size: int = SHAPE_WINDOW) -> Column:
     return F.when(last < 1, F.array().cast("array<array<string>>")).otherwise(F.transform(starts, lambda a: F.slice(stops, a + 1, F.lit(size))))
 
 
+def vertices_of(roads: DataFrame, column: str = "polyline6") -> DataFrame:
+    """Vertices of roads that are kept as encoded polylines (pattern_id, ``column``)."""
+    return roads.select("pattern_id", F.posexplode(polyline_points(F.col(column))).alias("vertex", "p")).select("pattern_id", "vertex", "p.lat", "p.lon")
+
+
 def with_lengths(vertices: DataFrame, keys: list[str]) -> DataFrame:
     """Vertices with ``along``, metres along the road up to each."""
     order = W.partitionBy(*keys).orderBy("vertex")

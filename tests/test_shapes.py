@@ -102,3 +102,29 @@ def test_verdicts(spark):
     reports = [(1, 53.0 + k * 1e-6, -1.995) for k in range(30)] + [(2, 53.0 + k * 1e-4, -1.995) for k in range(40)] + [(3, 53.0, -1.99)]
     got = {r["pattern_id"]: (r["reports"], r["status"], r["reason"]) for r in shapes.validated(spark.createDataFrame(reports, "pattern_id long, lat double, lon double"), v).collect()}
     assert got == {1: (30, "accepted", None), 2: (40, "rejected", "too_far"), 3: (1, "rejected", "too_few_reports"), 4: (0, "rejected", "no_path")}
+
+
+def test_encoded_roads(spark):
+    from headway.functions.geo import encode_polyline
+
+    rng = random.Random(3)
+    roads = {k: [(round(rng.uniform(-80, 80), 6), round(rng.uniform(-179, 179), 6)) for _ in range(rng.randrange(0, 30))] for k in range(10)}
+    assert encode_polyline([(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)], 5) == "_p~iF~ps|U_ulLnnqC_mqNvxq`@"  # the format's own published example
+    df = spark.createDataFrame([(k, encode_polyline(v) if v else "") for k, v in roads.items()] + [(99, None)], "pattern_id long, polyline6 string")
+    got = {}
+    for r in shapes.vertices_of(df).orderBy("pattern_id", "vertex").collect():
+        got.setdefault(r["pattern_id"], []).append((round(r["lat"], 6), round(r["lon"], 6)))
+    assert got == {k: v for k, v in roads.items() if v}
+
+
+def test_a_schema_that_only_grows(spark):
+    import pytest
+
+    from headway.operators.ledger import migrated
+
+    old = spark.createDataFrame([(1, "a")], "id long, name string")
+    wider = spark.createDataFrame([], "id long, added date, name string").schema
+    assert [tuple(r) for r in migrated(old, wider).collect()] == [(1, None, "a")]
+    for kinds in ("id long", "id string, name string"):
+        with pytest.raises(ValueError, match="lost or change"):
+            migrated(old, spark.createDataFrame([], kinds).schema)
