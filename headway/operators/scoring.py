@@ -18,6 +18,7 @@ from headway.constants import BIN_MIN, HOLD_STALE_S, HORIZON_S, LEAST_LEAD_S, MI
 from headway.functions import stats
 from headway.operators.sequences import asof
 from headway.operators.spatial import band_join
+from headway.session import settled
 
 METHODS = ("progress", "scheduled", "adjusted", "remaining", "blended")
 
@@ -95,6 +96,7 @@ def pooled(histograms: DataFrame, coverage: DataFrame, keys: list[str], interval
 
     histograms: keys, journey, kind, bin, n; coverage: keys, journey, eligible, eligible_shown, passages. ``interval``: minutes of signed error, whose share of moments is given.
     """
+    histograms = settled(histograms)
     add = lambda rows, by: rows.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
     signed, folded = histograms.filter("kind = 'signed'"), histograms.filter("kind = 'signed'").withColumn("bin", F.abs("bin"))
     minutes = F.col("bin") * BIN_MIN
@@ -153,6 +155,7 @@ def methods_compared(rows: DataFrame, keys: list[str], band: tuple[int, int] = S
     inside = rows.filter((F.col("horizon_min") >= band[0]) & (F.col("horizon_min") < band[1]))
     same = F.col("progress").isNotNull() & F.col("remaining").isNotNull() & F.col("blended").isNotNull()
     inside = inside.withColumn("subset", F.explode(F.when(same, F.array(F.lit("all"), F.lit("identical"))).otherwise(F.array(F.lit("all")))))
+    inside = settled(inside)
     by = [*keys, "subset"]
     moments = inside.groupBy(*by).agg(F.count(F.lit(1)).alias("moments"))
     each = inside.select(*by, "journey", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.abs(m).alias("off")) for m in METHODS])).alias("x")).select(*by, "journey", "x.*").filter("off IS NOT NULL")
