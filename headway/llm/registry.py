@@ -21,4 +21,5 @@ QUERIES = {
 ORACLES = {
     "op6_preference": preference.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op11_warc_index": warc.OP11_SQL,
 }

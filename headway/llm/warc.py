@@ -359,3 +359,11 @@ def op11_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = CaptureIndex(manifest, folder)
     removed(manifest)
     return replayed(pages, index, archives)
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n < 100 OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM m
+"""
