@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -71,8 +72,10 @@ class Track:
         self.square = (self.steps**2).sum(1)
         self.length = np.concatenate([[0.0], np.cumsum(np.sqrt(self.square))])
 
+        self.points, self.ends = self.at.tolist(), self.length.tolist()
+
     def segment(self, s: float) -> int:
-        return int(np.clip(np.searchsorted(self.length, s, side="right") - 1, 0, len(self.steps) - 1))
+        return max(0, min(bisect.bisect_right(self.ends, s) - 1, len(self.ends) - 2))
 
     def project(self, lat: float, lon: float, first: int = 0, last: int | None = None) -> tuple[float, float]:
         """Metres along and off the track of its point nearest to (lat, lon), among the segments from ``first`` up to ``last``."""
@@ -84,6 +87,21 @@ class Track:
         k = int(np.argmin(off))
         return float(self.length[first + k] + t[k] * math.sqrt(square[k])), float(off[k])
 
+    def project_all(self, points: list[tuple[float, float]], rows: int = 256) -> list[tuple[int, float, float]]:
+        """Segment, metres along and metres off of every point, as ``project`` gives them; ``rows`` points at a time."""
+        out = []
+        root = np.sqrt(self.square)
+        for k in range(0, len(points), rows):
+            p = np.asarray(points[k : k + rows], np.float64)[:, None, :] - self.at[:-1]
+            y, x = p[..., 0] * self.scale[:, 0], p[..., 1] * self.scale[:, 1]
+            along = y * self.steps[:, 0] + x * self.steps[:, 1]
+            t = np.clip(np.where(self.square > 0, along / np.where(self.square > 0, self.square, 1), 0), 0, 1)
+            off = np.hypot(y - self.steps[:, 0] * t, x - self.steps[:, 1] * t)
+            best = off.argmin(1)
+            here = np.arange(len(best))
+            out += zip(best.tolist(), (self.length[best] + t[here, best] * root[best]).tolist(), off[here, best].tolist(), strict=True)
+        return out
+
     def project_near(self, lat: float, lon: float, near: float | None, back: float = 600.0, ahead: float = 3000.0, accept: float = 25.0) -> tuple[float, float]:
         """As ``project``, first about where the last point was; the whole track where nothing there is close enough."""
         if near is not None:
@@ -94,9 +112,10 @@ class Track:
 
     def point_at(self, s: float) -> tuple[float, float]:
         k = self.segment(s)
-        part = self.length[k + 1] - self.length[k]
-        t = min(1.0, max(0.0, (s - self.length[k]) / part)) if part else 0.0
-        return tuple(float(x) for x in self.at[k] + t * (self.at[k + 1] - self.at[k]))
+        part = self.ends[k + 1] - self.ends[k]
+        t = min(1.0, max(0.0, (s - self.ends[k]) / part)) if part else 0.0
+        (y, x), (north, east) = self.points[k], self.points[k + 1]
+        return y + t * (north - y), x + t * (east - x)
 
     def heading_at(self, s: float) -> float:
         """Degrees clockwise from north of the segment at ``s``."""

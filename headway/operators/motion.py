@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from headway.constants import KEPT_FIXES, MEAN_RADIUS_M
 from headway.functions import stats
 from headway.functions.geo import Track
+from headway.session import settled
 
 #: Seconds ahead that are scored; ages of reports by which errors are told, (lower, upper]; least errors of an age that count.
 AHEAD_S, AGES, LEAST = 120, (10, 20, 30, 45, 60, 90, 120), 20
@@ -60,7 +61,8 @@ def advance(stops: list[float], s0: float, speed: float, seconds: float, p: Sett
         return s0
     s, left = s0, seconds
     if p.dwell > 0:
-        for stop in stops[bisect.bisect_right(stops, s0 + p.stop_tolerance) :]:
+        for k in range(bisect.bisect_right(stops, s0 + p.stop_tolerance), len(stops)):
+            stop = stops[k]
             need = (stop - s) / speed
             if left <= need:
                 break
@@ -116,17 +118,21 @@ def speed_of(at: list[int], along: list[float], p: Settings) -> tuple[float | No
 
 def estimate(at: list[int], along: list[float], off: float, when: int, length: float, stops: list[float], p: Settings) -> tuple[float | None, str | None]:
     """(metres along the road, why there is none) of a vehicle at ``when``, from reports known by then; ``off``: how far the newest lies from the road."""
-    age = max(0.0, (when - at[-1]) / 1000)
-    if off > p.off_track:
+    return _estimate(Placed(at, along, off), when, length, stops, p)
+
+
+def _estimate(known: Placed, when: int, length: float, stops: list[float], p: Settings) -> tuple[float | None, str | None]:
+    age = max(0.0, (when - known.at[-1]) / 1000)
+    if known.off > p.off_track:
         return None, "off_the_road"
     if age > p.stale:
         return None, "too_old"
-    speed, reason, standing = speed_of(at, along, p)
+    speed, reason, standing = known.speed(p)
     if speed is None:
         return None, reason
     if standing and speed > 0 and p.hold == 0:
         return None, "standing"
-    ahead, s = min(age, p.horizon), along[-1]
+    ahead, s = min(age, p.horizon), known.along[-1]
     if standing and speed > 0:
         s = advance(stops, s, speed, ahead - p.hold, p)
     elif speed > 0:
@@ -138,82 +144,129 @@ def metres_between(a: tuple[float, float], b: tuple[float, float]) -> float:
     return math.hypot(math.radians(b[1] - a[1]) * math.cos(math.radians((a[0] + b[0]) / 2)), math.radians(b[0] - a[0])) * MEAN_RADIUS_M
 
 
+class Placed:
+    """Reports known at a moment along the road; a speed is worked out once for all settings that read it alike."""
+
+    def __init__(self, at: list[int], along: list[float], off: float):
+        self.at, self.along, self.off = at, along, off
+        self.speeds: dict[tuple, tuple] = {}
+
+    def speed(self, p: Settings) -> tuple[float | None, str | None, bool]:
+        key = (p.max_speed, p.still, p.least_span, p.window, p.gap, p.back, p.standing_m, p.cruise)
+        if key not in self.speeds:
+            self.speeds[key] = speed_of(self.at, self.along, p)
+        return self.speeds[key]
+
+
 class Journey:
-    """A journey's reports (at, available, lat, lon) in order of their own time, one for each, and its road if it has one."""
+    """A journey's reports (at, available, lat, lon) in order of their own time, one for each, and its road if it has one.
+
+    Every report is sought on the whole road once. Which reports were known is read backwards from a report, and what was later but known before it from the
+    earliest ``available`` after it, so a journey takes time by its reports and the pairs it is asked for.
+    """
 
     def __init__(self, reports: list[dict], lats: list[float] | None, lons: list[float] | None, stops: list[float] | None):
         once: dict[int, dict] = {}
         for r in reports:
             once.setdefault(r["at"], r)
-        self.fixes = [once[t] for t in sorted(once)]
+        fixes = [once[t] for t in sorted(once)]
+        self.at, self.available = [f["at"] for f in fixes], [f["available"] for f in fixes]
+        self.points = [(f["lat"], f["lon"]) for f in fixes]
+        #: Of each report: when the first of those after it had been fetched.
+        self.next_known: list[float] = [math.inf] * len(fixes)
+        for k in range(len(fixes) - 2, -1, -1):
+            self.next_known[k] = min(self.next_known[k + 1], self.available[k + 1])
         self.track = Track(lats, lons) if lats is not None and len(lats) > 1 else None
         self.stops = sorted(stops or [])
         self.length = float(self.track.length[-1]) if self.track else 0.0
+        self.cases: dict[int, Placed] = {}
 
-    def known(self, by: int, before: bool = False) -> list[dict]:
-        """The newest reports fetched by a moment, in order of their own time."""
-        return [f for f in self.fixes if (f["available"] < by if before else f["available"] <= by)][-KEPT_FIXES:]
+    @cached_property
+    def on_road(self) -> list[tuple[int, float, float]]:
+        """(segment, metres along, metres off) of the nearest point of the whole road to each report."""
+        return self.track.project_all(self.points)
 
-    def placed(self, known: list[dict]) -> tuple[list[int], list[float], float]:
-        """Times, metres along, and how far the newest is off the road; each report is sought near the one after it."""
-        s, off = self.track.project(known[-1]["lat"], known[-1]["lon"])
-        along = [s]
-        for f in reversed(known[:-1]):
-            near = along[-1] - 50
-            here = self.track.project(f["lat"], f["lon"])
-            local = self.track.project(f["lat"], f["lon"], self.track.segment(max(0.0, near - 400)), self.track.segment(min(self.length, near + 3000)) + 1)
-            along.append((local if local[1] <= here[1] + 25 else here)[0])
-        return [f["at"] for f in known], along[::-1], off
+    def newest(self, k: int) -> bool:
+        """Whether report ``k`` was the newest when it was fetched."""
+        return self.next_known[k] > self.available[k]
 
-    @cached_property
-    def cases(self) -> list[tuple[dict, tuple | None, list[dict]]]:
-        """(basis, its reports placed, the later reports to be foretold) of every report that was the newest when it was fetched."""
+    def known(self, k: int, by: int, before: bool = False) -> list[int]:
+        """The newest reports up to ``k`` fetched by a moment, newest first."""
         out = []
-        for k, basis in enumerate(self.fixes[:-1]):
-            known = [f for f in self.fixes if f["available"] <= basis["available"]]
-            targets = [f for f in self.fixes[k + 1 :] if f["at"] - basis["at"] <= AHEAD_S * 1000]
-            if targets and known[-1]["at"] == basis["at"]:
-                out.append((basis, self.placed(known[-KEPT_FIXES:]) if self.track else None, targets))
+        while k >= 0 and len(out) < KEPT_FIXES:
+            if self.available[k] < by or (self.available[k] == by and not before):
+                out.append(k)
+            k -= 1
         return out
 
+    def placed(self, known: list[int]) -> Placed:
+        """Times, metres along, and how far the newest is off the road; each report is sought near the one after it."""
+        _, s, off = self.on_road[known[0]]
+        along = [s]
+        for k in known[1:]:
+            near = along[-1] - 50
+            segment, s, here = self.on_road[k]
+            first, last = self.track.segment(max(0.0, near - 400)), self.track.segment(min(self.length, near + 3000)) + 1
+            if not first <= segment < last:
+                local = self.track.project(*self.points[k], first, last)
+                s = local[0] if local[1] <= here + 25 else s
+            along.append(s)
+        return Placed([self.at[k] for k in reversed(known)], along[::-1], off)
+
+    def case(self, k: int) -> Placed:
+        """What was known when report ``k``, the newest then, was fetched."""
+        if k not in self.cases:
+            self.cases[k] = self.placed(self.known(k, self.available[k]))
+        return self.cases[k]
+
     @cached_property
-    def arrivals(self) -> list[tuple[int, tuple, tuple]]:
+    def arrivals(self) -> list[tuple[int, Placed, Placed]]:
         """(when, reports placed before, and with it) of every report that was the newest when it was fetched."""
         out = []
-        for f in self.fixes[1:] if self.track else ():
-            before, after = self.known(f["available"], before=True), self.known(f["available"])
-            if before and after[-1]["at"] == f["at"]:
-                out.append((f["available"], self.placed(before), self.placed(after)))
+        for k in range(1, len(self.at)) if self.track else ():
+            if self.newest(k) and (before := self.known(k - 1, self.available[k], before=True)):
+                out.append((self.available[k], self.placed(before), self.case(k)))
         return out
 
-    def errors(self, p: Settings) -> Iterator[tuple[dict, dict, float, float | None, str | None]]:
-        """(basis, target, metres from basis to target, metres from the estimate to the target, why there is none)."""
-        for basis, placed, targets in self.cases:
-            for target in targets:
-                there = (target["lat"], target["lon"])
-                stay = metres_between((basis["lat"], basis["lon"]), there)
-                if placed is None:
-                    yield basis, target, stay, None, "no_road"
+    def errors(self, p: Settings, ahead_s: int = AHEAD_S) -> Iterator[tuple[int, int, float, float | None, str | None]]:
+        """(basis, target, metres from basis to target, metres from the estimate to the target, why there is none) of reports by their places."""
+        for k, at in enumerate(self.at):
+            end = bisect.bisect_right(self.at, at + ahead_s * 1000)
+            if end == k + 1 or not self.newest(k):
+                continue
+            here, known = self.points[k], self.case(k) if self.track else None
+            for t in range(k + 1, end):
+                there = self.points[t]
+                stay = metres_between(here, there)
+                if known is None:
+                    yield k, t, stay, None, "no_road"
                     continue
-                s, reason = estimate(*placed, target["at"], self.length, self.stops, p)
-                yield basis, target, stay, None if s is None else metres_between(self.track.point_at(s), there), reason
+                s, reason = _estimate(known, self.at[t], self.length, self.stops, p)
+                yield k, t, stay, None if s is None else metres_between(self.track.point_at(s), there), reason
 
     def moves(self, p: Settings) -> Iterator[float]:
         """How far the estimate moves along the road whenever a newest report is fetched."""
         for when, before, after in self.arrivals:
-            (a, _), (b, _) = (estimate(*placed, when, self.length, self.stops, p) for placed in (before, after))
+            (a, _), (b, _) = (_estimate(known, when, self.length, self.stops, p) for known in (before, after))
             if a is not None and b is not None:
                 yield b - a
 
 
 def _journeys(batch: pa.RecordBatch) -> Iterator[tuple[int, Journey]]:
-    for k, row in enumerate(batch.select(["reports", "lats", "lons", "stops"]).to_pylist()):
-        yield k, Journey(row["reports"], row["lats"], row["lons"], row["stops"])
+    columns = [batch.column(c) for c in ("reports", "lats", "lons", "stops")]
+    for k in range(len(batch)):  # a row at a time, so that only one journey's reports are Python objects
+        yield k, Journey(*(c[k].as_py() for c in columns))
 
 
 def _with_roads(reports: DataFrame, roads: DataFrame) -> DataFrame:
     rows = reports.groupBy("journey", "pattern_id").agg(F.array_sort(F.collect_list(F.struct("at", "available", "lat", "lon"))).alias("reports"))
-    return rows.join(roads.select("pattern_id", "lats", "lons", "stops"), "pattern_id", "left").select("journey", "pattern_id", "reports", "lats", "lons", "stops")
+    rows = rows.join(roads.select("pattern_id", "lats", "lons", "stops"), "pattern_id", "left").select("journey", "pattern_id", "reports", "lats", "lons", "stops")
+    # by count, since rows of few bytes would be put together into few tasks, and their work is long
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "journey", "pattern_id")
+
+
+#: Rows that leave a task at a time.
+PORTION = 1 << 16
 
 
 def scores(reports: DataFrame, roads: DataFrame, p: Settings) -> DataFrame:
@@ -222,13 +275,15 @@ def scores(reports: DataFrame, roads: DataFrame, p: Settings) -> DataFrame:
     reports: journey, pattern_id, at, available (ms), lat, lon; roads: pattern_id, lats, lons, stops (metres along). The baseline is the distance from the last report itself.
     """
     kind = dict(reports.dtypes)["journey"]
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(k, b["at"], t["at"], (t["at"] - b["at"]) / 1000, e, stay, why) for k, j in _journeys(batch) for b, t, stay, e, why in j.errors(p)]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string())
-            arrays = [batch.column("journey").take(pa.array([r[0] for r in out], pa.int64()))] + [pa.array([r[i + 1] for r in out], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["journey", "basis_at", "target_at", "horizon_s", "error_m", "baseline_m", "reason"])
+            found = ((k, j.at[b], j.at[t], (j.at[t] - j.at[b]) / 1000, e, stay, why) for k, j in _journeys(batch) for b, t, stay, e, why in j.errors(p))
+            while out := list(itertools.islice(found, PORTION)):
+                columns = list(zip(*out, strict=True))
+                arrays = [batch.column("journey").take(pa.array(columns[0], pa.int64()))] + [pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["journey", "basis_at", "target_at", "horizon_s", "error_m", "baseline_m", "reason"])
 
     return _with_roads(reports, roads).mapInArrow(of, f"journey {kind}, basis_at long, target_at long, horizon_s double, error_m double, baseline_m double, reason string")
 
@@ -246,8 +301,8 @@ def compared(reports: DataFrame, roads: DataFrame, settings: list[Settings]) ->
         for batch in batches:
             for _, j in _journeys(batch):
                 for total, p in zip(sums, settings, strict=True):
-                    for b, t, _, e, _ in j.errors(p):
-                        if e is not None and t["at"] - b["at"] <= 60_000:
+                    for _, _, _, e, _ in j.errors(p, 60):
+                        if e is not None:
                             total[0] += 1
                             total[1] += e
                     for move in j.moves(p):
@@ -276,6 +331,7 @@ def age_bin(horizon_s: Column) -> Column:
 def profile(rows: DataFrame) -> DataFrame:
     """(up_to, n, p50, p80, baseline_p50, better) by the report's age; ``rows`` as ``scores`` gives them."""
     held = rows.filter("error_m IS NOT NULL").withColumn("up_to", age_bin(F.col("horizon_s"))).filter("up_to IS NOT NULL AND horizon_s > 0")
+    held = settled(held.select("up_to", "error_m", "baseline_m"))  # six aggregates read what the journeys are asked once for
     model = stats.quantiles(held, ["up_to"], "error_m", {"p50": ("linear", 0.5), "p80": ("linear", 0.8)})
     base = stats.quantiles(held, ["up_to"], "baseline_m", {"baseline_p50": ("linear", 0.5)}).drop("n")
     better = held.groupBy("up_to").agg(F.avg((F.col("error_m") < F.col("baseline_m")).cast("double")).alias("better"))

@@ -112,3 +112,33 @@ def test_choice_among_settings_and_horizon(spark):
     assert motion.supported_horizon(make(bins)).first()["horizon_s"] == 20
     assert motion.supported_horizon(make([(a, 50, 1.0, 1.0, 2.0, 0.5) for a in motion.AGES])).first()["horizon_s"] == 120
     assert motion.supported_horizon(make([])).first()["horizon_s"] == 0
+
+
+def test_a_report_is_sought_on_the_road_once(monkeypatch):
+    """A journey's work grows with its reports, not with reports times those known, and speeds are worked out once for settings that read them alike."""
+    rng = random.Random(8)
+    lats, lons = [53.0 + rng.uniform(0, 0.05) for _ in range(30)], [-2.0 + k * 0.01 for k in range(30)]
+    road, reports, t = motion.Track(lats, lons), [], 0
+    for k in range(400):
+        t += rng.randrange(8_000, 40_000)
+        lat, lon = road.point_at(100.0 * k)
+        reports.append({"at": t, "available": t + rng.choice([0, 4_000, 90_000]), "lat": lat + rng.uniform(0, 0.0002), "lon": lon})
+    j = motion.Journey(reports, lats, lons, [500.0 * k for k in range(40)])
+    calls, speeds = [], []
+    whole = motion.Track.project
+    monkeypatch.setattr(motion.Track, "project", lambda self, lat, lon, first=0, last=None: calls.append(last) or whole(self, lat, lon, first, last))
+    speed_of = motion.speed_of
+    monkeypatch.setattr(motion, "speed_of", lambda *a: speeds.append(1) or speed_of(*a))
+    settings = motion.grid(Settings(horizon=120.0))[:50]
+    pairs = [sum(1 for _ in j.errors(p)) for p in settings]
+    moves = [sum(1 for _ in j.moves(p)) for p in settings]
+    assert min(pairs) == max(pairs) > 400 and max(moves) > 10
+    assert None not in calls  # only stretches of the road, where the nearest point of the whole lies outside
+    assert len(speeds) <= 3 * len(reports)  # with each report, before it, and not once for each of 50 settings
+    for (segment, s, off), (lat, lon) in zip(j.on_road, j.points, strict=True):
+        assert (s, off) == whole(j.track, lat, lon) and j.track.ends[segment] <= s <= j.track.ends[segment + 1]
+    for k in range(len(reports)):
+        upto = [f for f in sorted(reports, key=lambda r: r["at"]) if f["available"] <= j.available[k]]
+        assert j.newest(k) == (upto[-1]["at"] == j.at[k])
+        if j.newest(k):
+            assert [j.at[i] for i in reversed(j.known(k, j.available[k]))] == [f["at"] for f in upto[-12:]]
