@@ -27,7 +27,7 @@ def _places(spark, sf_dir):
 def walkable_transfers(spark, sf_dir):
     """Pairs within 350 m through a grid of neighbouring cells."""
     s, c = _places(spark, sf_dir)
-    return spatial.near_join(s, c, 350.0, 0.004, 0.006).select("s_suppkey", "c_custkey", F.round("metres", 3).alias("metres"))
+    return spatial.near_places(s, c, 350.0, 0.004, 0.006, 3).select("s_suppkey", "c_custkey", "metres")
 
 
 @query(
@@ -36,7 +36,7 @@ def walkable_transfers(spark, sf_dir):
 def nearest_stops(spark, sf_dir):
     """The three nearest within 900 m."""
     s, c = _places(spark, sf_dir)
-    return spatial.nearest(spatial.near_join(s, c, 900.0, 0.009, 0.015), ["s_suppkey"], "metres", ["c_custkey"], 3).select("s_suppkey", "c_custkey", F.col("rank").cast("long").alias("rank"))
+    return spatial.nearest_within(s, c, 900.0, 0.009, 0.015, "s_suppkey", "c_custkey", 3).select("s_suppkey", "c_custkey", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT a.s_suppkey, c.c_custkey FROM supplier a JOIN customer c ON a.s_nationkey = c.c_nationkey AND abs(a.s_acctbal - c.c_acctbal) <= 25")
