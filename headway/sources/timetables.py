@@ -61,6 +61,11 @@ def _array(c: Column, kind: str) -> Column:
     return F.coalesce(c, F.array().cast(kind))
 
 
+def _once(c: Column) -> Column:
+    """``c`` under a condition on the row's number, which always holds: filters are not moved below what is not deterministic, where each of them would work it out again."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def _last(c: Column) -> Column:
     return F.get(c, F.size(c) - 1)
 
@@ -150,7 +155,7 @@ def operating_rule(profile: Column, organisations: Column) -> Column:
 
 def read(files: DataFrame) -> DataFrame:
     """``files`` (dataset, file, body, ...) with the document in ``doc``."""
-    return files.withColumn("doc", F.from_xml("body", DOCUMENT, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})).drop("body")
+    return files.withColumn("doc", F.from_xml(_once(F.col("body")), DOCUMENT, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})).drop("body")
 
 
 def unreadable(documents: DataFrame) -> DataFrame:
@@ -210,7 +215,7 @@ def patterns(documents: DataFrame) -> DataFrame:
         "line", "service_code", "operator", "public_use", "valid_from", "valid_to", "modified", "revision", F.lower(F.coalesce(F.trim("p.Direction"), F.lit(""))).alias("direction"),
         F.coalesce(F.trim("p.DestinationDisplay"), F.lit("")).alias("destination"), F.transform(F.filter("journeys", lambda j: j["pattern"] == F.col("p._id")), lambda j: F.struct(j["time"].alias("time"), j["rule"].alias("rule"))).alias("journeys"),
     )
-    rows = rows.select(*FILE, "pattern_at", head.alias("head"), held.alias("held"))
+    rows = rows.select(*FILE, "pattern_at", _once(head).alias("head"), _once(held).alias("held"))
     rows = rows.filter((F.size("head.journeys") > 0) & (F.size("held") > 0) & F.forall("held", lambda x: x.isNotNull()))
     rows = rows.select(*FILE, "pattern_at", "head", F.posexplode("held").alias("section_at", "section"))
     rows = rows.select(*FILE, "pattern_at", "section_at", F.when(F.col("section_at") == 0, F.col("head")).alias("head"), F.posexplode("section").alias("call_at", "call"))
@@ -246,29 +251,33 @@ def merged(found: DataFrame) -> DataFrame:
     ``timings`` are distinct arrays of seconds by call; ``departures`` (time, timing, rule) point into them and into ``rules`` (-1: no rule). Open to the
     public if any is, closed if all say so. ``pattern_id`` is made from the key alone, so rebuilding keeps it (stops and names in ASCII, as the registers have them).
     """
-    stops = F.transform("calls", lambda c: c["stop"])
     rest = [c for c in found.columns if c not in ("operator", "line", "direction", *FILE, "pattern_at")]
-    rows = found.withColumn("stops", stops).groupBy("operator", "line", "direction", "stops").agg(F.array_sort(F.collect_list(F.struct(*FILE, "pattern_at", *rest))).alias("x"))
-    first = F.get("x", F.lit(0))
-    timing = lambda p: F.transform(p["calls"], lambda c: c["seconds"])
-    declared = lambda p: F.size(F.filter(p["calls"], lambda c: c["metres"].isNotNull()))
-    best = F.array_max(F.transform("x", declared))
-    rules = F.array_distinct(F.filter(F.flatten(F.transform("x", lambda p: F.transform(p["journeys"], lambda j: j["rule"]))), lambda r: r.isNotNull()))
-    use = F.transform("x", lambda p: p["public_use"])
-    some, none = F.exists(use, lambda u: F.coalesce(u, F.lit(False))), F.forall(use, lambda u: F.coalesce(~u, F.lit(False)))
-    rows = rows.withColumns({"timings": F.array_distinct(F.transform("x", timing)), "rules": F.when(F.size(rules) > 0, rules)})
-    place = lambda among, c: (F.coalesce(F.array_position(among, c), F.lit(0)) - 1).cast("int")
-    leaving = F.flatten(F.transform("x", lambda p: F.transform(F.filter(p["journeys"], lambda j: j["time"].isNotNull()), lambda j: F.struct(j["time"].alias("time"), place(F.col("timings"), timing(p)).alias("timing"), place(F.col("rules"), j["rule"]).alias("rule")))))
-    calls = F.get(F.filter("x", lambda p: declared(p) == best), F.lit(0))["calls"]
+    key, place = ["operator", "line", "direction", "stops"], [*FILE, "pattern_at"]
+    rows = found.withColumns({"stops": F.transform("calls", lambda c: c["stop"]), "timing": F.transform("calls", lambda c: c["seconds"])})
+    numbered = lambda first, own: F.dense_rank().over(W.partitionBy(*key).orderBy(F.asc_nulls_last(first), own)) - 1
+    rows = rows.withColumn("timing_first", F.min(F.struct(*place)).over(W.partitionBy(*key, "timing"))).withColumn("timing_at", numbered("timing_first", "timing"))
+    rows = rows.select(*key, *place, "timing", "timing_at", (F.col("timing_first") == F.struct(*place)).alias("timing_new"), F.struct(*place, *rest).alias("p"), F.posexplode_outer("journeys").alias("journey_at", "j"))
+    # a pattern stands in the row of its first journey
+    rows = rows.withColumn("p", F.when(F.coalesce("journey_at", F.lit(0)) == 0, F.col("p"))).withColumn("rule", F.col("j.rule"))
+    said = F.col("rule").isNotNull()
+    rows = rows.withColumn("rule_first", F.min(F.when(said, F.struct(*place, "journey_at"))).over(W.partitionBy(*key, "rule"))).withColumn("rule_at", F.when(said, numbered("rule_first", "rule")).otherwise(-1))
+    is_new, declared = F.col("rule_first") == F.struct(*place, "journey_at"), F.size(F.filter("p.calls", lambda c: c["metres"].isNotNull()))
+    listed_by = lambda new, at, what: F.transform(F.array_sort(F.collect_set(F.when(new, F.struct(F.col(at).alias("at"), F.col(what).alias("x"))))), lambda v: v["x"])
+    rows = rows.groupBy(*key).agg(
+        F.min("p").alias("first"), F.min(F.when(F.col("p").isNotNull(), F.struct((-declared).alias("n"), "p"))).alias("best"),
+        F.bool_or(F.coalesce("p.public_use", F.lit(False))).alias("some"), F.bool_and(F.when(F.col("p").isNotNull(), F.coalesce(~F.col("p.public_use"), F.lit(False)))).alias("none"),
+        F.count("journey_at").alias("total"), listed_by(F.col("p").isNotNull() & F.col("timing_new"), "timing_at", "timing").alias("timings"), listed_by(is_new, "rule_at", "rule").alias("rules"),
+        F.array_sort(F.collect_list(F.when(F.col("j.time").isNotNull(), F.struct(F.col("j.time").alias("time"), F.col("timing_at").cast("int").alias("timing"), F.col("rule_at").cast("int").alias("rule"))))).alias("departures"),
+    )
+    first, some, none, total, calls = F.col("first"), F.col("some"), F.col("none"), F.col("total"), F.col("best.p.calls")
     text = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1))
     listed = F.concat(F.lit("["), F.array_join(F.transform("stops", lambda s: F.regexp_extract(F.to_json(F.array(s)), r"^\[(.*)\]$", 1)), ", "), F.lit("]"))
     digest = F.substring(F.sha2(F.concat(F.lit("["), text("operator"), F.lit(", "), text("line"), F.lit(", "), text("direction"), F.lit(", "), listed, F.lit("]")), 256), 1, 10)
-    key = F.concat_ws(":", F.coalesce("operator", F.lit("NOC")), "line", F.when(F.col("direction") == "", "-").otherwise(F.col("direction")), digest)
-    total = F.aggregate("x", F.lit(0).cast("long"), lambda n, p: n + F.size(p["journeys"]))
+    name = F.concat_ws(":", F.coalesce("operator", F.lit("NOC")), "line", F.when(F.col("direction") == "", "-").otherwise(F.col("direction")), digest)
     return rows.select(
-        key.alias("pattern_id"), "operator", "line", "direction", *[first[c].alias(c) for c in (*FILE, "service_code", "destination", "valid_from", "valid_to", "modified", "revision")], F.when(some, True).when(none, False).alias("public_use"),
+        name.alias("pattern_id"), "operator", "line", "direction", *[first[c].alias(c) for c in (*FILE, "service_code", "destination", "valid_from", "valid_to", "modified", "revision")], F.when(some, True).when(none, False).alias("public_use"),
         total.alias("journeys"), F.size("stops").alias("stop_count"), (F.size(F.array_distinct("stops")) < F.size("stops")).alias("has_repeated_stop"), F.forall(calls, lambda c: c["metres"].isNotNull()).alias("distances_known"),
-        F.when(F.forall(calls, lambda c: c["metres"].isNotNull()), _last(calls)["metres"]).alias("total_m"), "rules", "timings", F.array_sort(leaving).alias("departures"), calls.alias("calls"),
+        F.when(F.forall(calls, lambda c: c["metres"].isNotNull()), _last(calls)["metres"]).alias("total_m"), F.when(F.size("rules") > 0, F.col("rules")).alias("rules"), "timings", "departures", calls.alias("calls"),
     )
 
 
