@@ -15,6 +15,11 @@ from headway.constants import EXPIRY_S
 from headway.operators.quality import freshness
 from headway.operators.spatial import meets
 
+#: Width in ms of the cells of time through which states meet publications.
+CELL_MS = 60_000
+#: Shares into which the states are dealt by key: all keys meet the same publications, which a cell of time alone would bring to one task. Each publication is as many rows.
+SHARES = 64
+
 
 def known_states(reports: DataFrame, keys: list[str], values: list[str], expiry_ms: int = EXPIRY_S * 1000) -> DataFrame:
     """(keys, observed, retrieved, values, known_from, known_to) of the newest report of each key while it is the newest known and no older than ``expiry_ms``.
@@ -29,7 +34,10 @@ def known_states(reports: DataFrame, keys: list[str], values: list[str], expiry_
     calm = calm.filter(F.col("__before").isNull() | (rank > F.col("__before")))
     calm = calm.withColumn("known_to", F.least(F.coalesce(F.lead("retrieved").over(order), F.col("observed") + expiry_ms + 1), F.col("observed") + expiry_ms + 1))
     out = calm.select(*keys, "observed", "retrieved", *values, F.col("retrieved").alias("known_from"), "known_to", F.lit(False).alias("several"))
-    torn = rows.filter("__held").withColumn("known_to", F.least(F.coalesce("withdrawn", F.col("observed") + expiry_ms + 1), F.col("observed") + expiry_ms + 1))
+    # a report that is not withdrawn outlives all that were observed before it, which end when it is known
+    later = W.partitionBy(*keys).orderBy(F.desc("observed")).rangeBetween(W.unboundedPreceding, -1)
+    torn = rows.filter("__held").withColumn("__after", F.min(F.when(F.col("withdrawn").isNull(), F.col("retrieved"))).over(later))
+    torn = torn.withColumn("known_to", F.least("withdrawn", F.col("observed") + expiry_ms + 1, "__after"))
     torn = torn.select(*keys, "observed", "retrieved", *values, F.col("retrieved").alias("known_from"), "known_to", F.lit(True).alias("several"))
     return out.unionByName(torn).filter("known_from < known_to")
 
@@ -37,7 +45,9 @@ def known_states(reports: DataFrame, keys: list[str], values: list[str], expiry_
 def replayed(reports: DataFrame, publications: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """(published, keys, observed, retrieved, values, age_s, freshness): what each publication (published, ms) shows, with no later knowledge. Reports of later than the publication are withheld."""
     states = known_states(reports, keys, values)
-    met = meets(states, publications.select("published").distinct(), "known_from", "known_to", "published", EXPIRY_S * 1000)
+    dealt = states.withColumn("__share", F.pmod(F.xxhash64(*keys), F.lit(SHARES)))
+    each = publications.select("published").distinct().withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    met = meets(dealt, each, "known_from", "known_to", "published", CELL_MS, ("__share",)).drop("__share")
     newest = F.row_number().over(W.partitionBy("published", *keys).orderBy(F.desc("observed"), "retrieved", *values))
     one = met.filter("NOT several").unionByName(met.filter("several").withColumn("__k", newest).filter("__k = 1").drop("__k"))
     age: Column = (F.col("published") - F.col("observed")) / 1000
