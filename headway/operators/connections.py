@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from headway.constants import CHANGE_CANDIDATES, CHANGE_PENALTY_M, DETOUR, DIRECT_REACH_M, GRID_LAT, GRID_LON, NEARER_M, RIDE_M_PER_STOP, STOPS_NEAR, TRANSFER_M, WALK_M
+from headway.constants import CHANGE_CANDIDATES, CHANGE_PENALTY_M, DETOUR, DIRECT_REACH_M, NEARER_M, RIDE_M_PER_STOP, STOPS_NEAR, TRANSFER_M, WALK_M
 from headway.functions.geo import metres
-from headway.operators.spatial import near_join
+from headway.operators.spatial import cell_of, near_join
 from headway.session import settled
 
 SERVICE = ("operator", "line", "direction", "destination")
@@ -38,7 +38,7 @@ def whole_metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 def stops_near(places: DataFrame, stops: DataFrame, radius_m: float, keys: list[str]) -> DataFrame:
     """(keys, stop, near_m) of the stops within ``radius_m`` of each place (keys, lat, lon)."""
     right = stops.select("stop", F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
-    met = near_join(places.select(*keys, "lat", "lon"), right, radius_m + 0.5, GRID_LAT, GRID_LON)
+    met = near_join(places.select(*keys, "lat", "lon"), right, radius_m + 0.5, *cell_of(radius_m + 0.5))
     return met.select(*keys, "stop", F.floor(F.col("metres") + 0.5).alias("near_m")).filter(F.col("near_m") <= radius_m)
 
 
