@@ -65,6 +65,14 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tupl
     return ranked_values(df, keys, value).groupBy(*keys).agg(*out, F.max("total").alias("n"))
 
 
+def small_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+    """keys and ``name``, as ``quantiles`` gives by the convention ``linear``; for groups of a bounded size, each of which is one row."""
+    rows = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("__all"))
+    at = (F.size("__all") - 1) * F.lit(q)
+    a, b = F.get("__all", F.floor(at).cast("int")), F.get("__all", F.ceil(at).cast("int"))
+    return rows.select(*keys, (a + (b - a) * (at - F.floor(at))).alias(name))
+
+
 def histogram(df: DataFrame, keys: list[str], value: str, width: float) -> DataFrame:
     """Counts by bin; bin k covers [k, k + 1) widths."""
     return df.groupBy(*keys, F.floor(F.col(value) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

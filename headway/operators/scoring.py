@@ -4,8 +4,8 @@ A report meets the passages of its own journey within ``HORIZON_S`` of it, in ti
 reports is not expanded into its five-second moments: how many of a hold's moments lie where the vehicle is in fact two to ten minutes away, and at how many
 the estimate says so, are counts of whole steps in an interval. Errors go into bins, so what is kept of a journey is a few hundred counts.
 
-The timetable corrected by the journey's delay takes, at each report, the furthest passage before the target that was known by then: an as-of
-join by when a passage became known, over its furthest stop so far.
+The timetable corrected by the journey's delay takes, at each report, the furthest passage before the target that was known by then, of the
+journey's own passages in one row.
 """
 
 from __future__ import annotations
@@ -121,14 +121,16 @@ def known_delay(reports: DataFrame, passages: DataFrame) -> DataFrame:
     reports: journey, at; passages: journey, stop_index, passed_ms, known_ms (when the report after it came), timetable_ms (null: the timetable names none). Two
     orders of time: where a passage lies along the journey, and from when it is known.
     """
-    p = passages.select("journey", "stop_index", "passed_ms", "known_ms", "timetable_ms")
-    behind = p.select("journey", F.col("stop_index").alias("before"), F.col("known_ms").alias("at"), (F.col("passed_ms") - F.col("timetable_ms")).alias("delay_ms"))
-    pairs = p.select("journey", "stop_index").join(behind, "journey").filter("before < stop_index")
-    order = W.partitionBy("journey", "stop_index").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
-    furthest = pairs.withColumn("best", F.max(F.struct("before", "delay_ms")).over(order)).groupBy("journey", "stop_index", "at").agg(F.max("best").alias("best"))
-    asked = reports.select("journey", "at").distinct().join(p.select("journey", "stop_index").distinct(), "journey")
-    met = asof(asked, furthest, ["journey", "stop_index"], "at", ["best"])
-    return met.select("journey", "at", "stop_index", F.col("hit_best.delay_ms").alias("delay_ms")).filter("delay_ms IS NOT NULL")
+    asked = reports.select("journey", "at").distinct().join(passages.select("journey", "stop_index").distinct(), "journey")
+    return _with_delay(asked, passages).filter("delay_ms IS NOT NULL")
+
+
+def _with_delay(asked: DataFrame, passages: DataFrame) -> DataFrame:
+    """``asked`` (journey, at, stop_index and what else) with ``delay_ms``. A journey's passages, its stops' count, stand beside each of its rows, so nothing is sorted by time."""
+    held = passages.groupBy("journey").agg(F.collect_list(F.struct(F.col("stop_index").alias("before"), (F.col("passed_ms") - F.col("timetable_ms")).alias("delay_ms"), "known_ms")).alias("__held"))
+    known = F.filter("__held", lambda x: (x["before"] < F.col("stop_index")) & (x["known_ms"] <= F.col("at")))
+    furthest = F.array_max(F.transform(known, lambda x: F.struct(x["before"].alias("before"), x["delay_ms"].alias("delay_ms"))))
+    return asked.join(held, "journey", "left").withColumn("delay_ms", furthest["delay_ms"]).drop("__held")
 
 
 def scored(reports: DataFrame, passages: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -141,7 +143,7 @@ def scored(reports: DataFrame, passages: DataFrame, estimates: DataFrame) -> Dat
     lead = (F.col("passed_ms") - F.col("at")) / 1000
     met = met.filter((lead >= LEAST_LEAD_S) & (F.col("along") < F.col("offset_m"))).withColumn("horizon_min", lead / 60)
     one = ["journey", "at", "stop_index"]
-    rows = met.join(estimates, one, "left").join(known_delay(on, passages), one, "left")
+    rows = _with_delay(met, passages).join(estimates, one, "left")
     error = lambda eta: (F.col("passed_ms") - eta) / 60_000
     etas = {"progress": F.col("progress_ms"), "scheduled": F.col("timetable_ms"), "adjusted": F.col("timetable_ms") + F.col("delay_ms"), "remaining": F.col("remaining_ms"), "blended": F.col("blended_ms")}
     return rows.select(*one, "horizon_min", "uncertainty_s", *[error(etas[m]).alias(m) for m in METHODS])
@@ -160,7 +162,7 @@ def methods_compared(rows: DataFrame, keys: list[str], band: tuple[int, int] = S
     moments = inside.groupBy(*by).agg(F.count(F.lit(1)).alias("moments"))
     each = inside.select(*by, "journey", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.abs(m).alias("off")) for m in METHODS])).alias("x")).select(*by, "journey", "x.*").filter("off IS NOT NULL")
     at = stats.quantiles(each, [*by, "method"], "off", {"median_abs": ("linear", 0.5), "p80_abs": ("index", 0.8)}).withColumnRenamed("n", "available")
-    own = stats.quantiles(each, [*by, "method", "journey"], "off", {"own": ("linear", 0.5)}).drop("n")
+    own = stats.small_quantile(each, [*by, "method", "journey"], "off", 0.5, "own")
     journeys = stats.quantiles(own, [*by, "method"], "own", {"median_of_medians": ("linear", 0.5)}).withColumnRenamed("n", "journeys")
     out = moments.join(at, by).join(journeys, [*by, "method"])
     return out.withColumn("coverage", F.col("available") / F.col("moments"))
