@@ -99,10 +99,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def platt(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:
-    """(a, b) so that sigmoid(a * logit + b) is calibrated: Newton steps on smoothed targets; few rows leave the logit as it is."""
+def platt(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, counts: tuple[int, int] | None = None) -> tuple[float, float]:
+    """(a, b) so that sigmoid(a * logit + b) is calibrated: Newton steps on smoothed targets; few rows leave the logit as it is. counts: rows labelled 0 and 1, where one stands for several."""
     weights = np.ones(len(labels)) if weights is None else weights
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
+    n0, n1 = counts or (int((1 - labels).sum()), int(labels.sum()))
     goal = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([logits.astype(np.float64), np.ones(len(logits))], axis=1)
     ab, toward, pull = np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.diag([1.0, 0.05])

@@ -559,6 +559,20 @@ def test_toxicity_scores_see_text_only(spark, documents, sf):
     assert a == b
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """What only the last of many labelled rows hold is learnt too, in several shards, and learning again gives the same model."""
+    ids = spark.range(9000).select(F.col("id").alias("doc_id")).withColumn("toxic", (F.col("doc_id") % 3 == 0).cast("int"))
+    late = {r["doc_id"] for r in ids.filter((F.col("toxic") == 1) & ~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect()[-300:]}
+    text = F.when(F.col("doc_id").isin(*late), "zork words here").when(F.col("toxic") == 1, "awful words here").otherwise("fine words here")
+    docs = ids.withColumns({"text": text, "lang": F.lit("en")})
+    new = spark.createDataFrame([(-1, "zork", "en"), (-2, "plain", "en")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(toxicity, "ROWS", 1000)
+    learnt = toxicity.labelled(docs, ids)
+    assert learnt.count() == ids.filter(~toxicity.held_out(F.col("doc_id"))).count() and learnt.rdd.getNumPartitions() == 7
+    got = [dict(rows(toxicity.score_documents(docs.drop("toxic").unionByName(new), ids).filter("doc_id < 0"), "doc_id", "score")) for _ in range(2)]
+    assert got[0] == got[1] and got[0][-1] > got[0][-2] + 0.2
+
+
 def test_toxicity_odd_inputs(spark, odd_rows):
     labels = spark.createDataFrame([(4, 1, 1), (6, 1, 0), (None, 1, 1), (7, 0, None), (99_999, 1, 1)], "doc_id long, quality int, toxic int")
     df = wide(spark, odd_rows)
