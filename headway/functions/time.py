@@ -32,10 +32,19 @@ def clock_seconds(text: Column) -> Column:
 
 def duration_seconds(text: Column) -> Column:
     """ISO 8601 ``PnDTnHnMnS`` to seconds, rounded half to even; ``PT`` alone is null."""
-    form = r"^P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
-    part = lambda k: F.coalesce(F.regexp_extract(text, form, k).try_cast("double"), F.lit(0.0))
-    total = part(1) * 86400 + part(2) * 3600 + part(3) * 60 + part(4)
-    return F.when(text.rlike(form) & text.rlike(r"\d"), F.bround(total).cast("int"))
+    form = r"^P(?=.*\d)(?:\d+D)?(?:T(?:\d+H)?(?:\d+M)?(?:\d+(?:\.\d+)?S)?)?$"
+    after = lambda c, mark: F.substring_index(c, mark, -1)
+
+    def number(mark: str, *before: str) -> Column:
+        """The number that stands before ``mark``, after all marks that may come earlier; 0 where it is not said."""
+        c = F.substring_index(text, mark, 1)
+        for m in before:
+            c = after(c, m)
+        return F.when(text.contains(mark), F.coalesce(c.try_cast("double"), F.lit(0.0))).otherwise(0.0)
+
+    # the form is matched once; a text of that form has each mark once at most, and in this order
+    total = number("D", "P") * 86400 + number("H", "T") * 3600 + number("M", "T", "H") * 60 + number("S", "T", "H", "M")
+    return F.when(text.rlike(form), F.bround(total).cast("int"))
 
 
 def wall_clock(day: Column, seconds: Column, zone: str = LONDON) -> Column:

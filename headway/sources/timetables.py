@@ -135,7 +135,7 @@ def operating_rule(profile: Column, organisations: Column) -> Column:
     """An operating profile as a rule (``RULE``); null where there is none."""
     week = profile["RegularDayType"]["DaysOfWeek"]
     none = F.array().cast("array<int>")
-    days = F.array_sort(F.array_distinct(F.concat(*[F.when(week[d].isNotNull(), F.array(*map(F.lit, numbers))).otherwise(none) for d, numbers in _NAMED.items()])))
+    days = F.sort_array(F.array_distinct(F.flatten(F.array(*[F.when(week[d].isNotNull(), F.array(*map(F.lit, numbers))).otherwise(none) for d, numbers in _NAMED.items()]))))
     filled = lambda ranges: F.when(F.size(ranges) > 0, ranges)
     special, serviced = profile["SpecialDaysOperation"], profile["ServicedOrganisationDayType"]
     entry = "array<struct<mode:string,kind:string,organisations:array<string>,ranges:array<struct<start:date,end:date>>>>"
@@ -148,7 +148,7 @@ def operating_rule(profile: Column, organisations: Column) -> Column:
             parts.append(F.when(part.isNotNull(), F.array(F.struct(F.lit(mode).alias("mode"), F.lit(kind).alias("kind"), codes.alias("organisations"), ranges.alias("ranges"))).cast(entry)).otherwise(F.array().cast(entry)))
     rule = F.struct(
         days.alias("days"), profile["RegularDayType"]["HolidaysOnly"].isNotNull().alias("holidaysOnly"), filled(date_ranges(special["DaysOfOperation"])).alias("alsoOn"),
-        filled(date_ranges(special["DaysOfNonOperation"])).alias("notOn"), filled(F.concat(*parts)).alias("serviced"), F.when(profile["BankHolidayOperation"].isNotNull(), "declared_not_evaluated").alias("bankHolidays"),
+        filled(date_ranges(special["DaysOfNonOperation"])).alias("notOn"), filled(F.flatten(F.array(*parts))).alias("serviced"), F.when(profile["BankHolidayOperation"].isNotNull(), "declared_not_evaluated").alias("bankHolidays"),
     )
     return F.when(profile.isNotNull(), rule.cast(RULE))
 
@@ -204,7 +204,7 @@ def patterns(documents: DataFrame) -> DataFrame:
         F.when(open_to_all == "true", True).when(open_to_all == "false", False).alias("public_use"),
         F.coalesce(day(service["OperatingPeriod"]["StartDate"]), F.col("valid_from")).alias("valid_from"), F.coalesce(day(service["OperatingPeriod"]["EndDate"]), F.col("valid_to")).alias("valid_to"),
         doc["_ModificationDateTime"].alias("modified"), doc["_RevisionNumber"].alias("revision"), _sections(doc).alias("sections"),
-        "organisations", doc.alias("doc"), operating_rule(service["OperatingProfile"], F.col("organisations")).alias("service_rule"),
+        "organisations", doc.alias("doc"), _once(operating_rule(service["OperatingProfile"], F.col("organisations"))).alias("service_rule"),
         F.flatten(F.transform(services, lambda s: _array(s["StandardService"]["JourneyPattern"], pattern))).alias("patterns"),
     ).filter("line IS NOT NULL")
     rows = rows.withColumn("journeys", _journeys(F.col("doc"), F.col("service_rule"), F.col("organisations"))).drop("doc", "organisations", "service_rule")
