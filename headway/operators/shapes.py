@@ -137,28 +137,44 @@ def offsets_from(reports: DataFrame, vertices: DataFrame) -> DataFrame:
 
     Places that repeat are measured once and joined back.
     """
-    order = W.partitionBy("pattern_id").orderBy("vertex")
-    ends = vertices.select("pattern_id", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.lead("lat").over(order).alias("b_lat"), F.lead("lon").over(order).alias("b_lon")).filter("b_lat IS NOT NULL")
-    # cells are as high as CELL_M, and as wide in degrees of longitude as that is at the road's latitude nearest a pole, or less near the equator
-    dy = CELL_M / PLAIN_DEGREE_M
-    reach = REACH_M / PLAIN_DEGREE_M
-    shrink = F.cos(F.radians(F.least(F.lit(85.0), F.greatest(F.abs("a_lat"), F.abs("b_lat")) + reach)))
-    cell = lambda x, by: F.floor(x / by)
-    ys = F.sequence(cell(F.least("a_lat", "b_lat") - reach, dy), cell(F.greatest("a_lat", "b_lat") + reach, dy))
-    xs = F.sequence(cell(F.least("a_lon", "b_lon") - reach / shrink, dy), cell(F.greatest("a_lon", "b_lon") + reach / shrink, dy))
-    segments = ends.withColumn("__y", F.explode(ys)).withColumn("__x", F.explode(xs))
+    ends = _segments(vertices)
+    segments = _in_cells(ends, REACH_M, 85.0)
     once = reports.select("pattern_id", "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct()
-    near = once.withColumns({"__y": cell(F.col("lat"), dy), "__x": cell(F.col("lon"), dy)}).join(segments, ["pattern_id", "__y", "__x"])
+    near = once.select("*", *_cell_of("lat", "lon")).join(segments, ["pattern_id", "__y", "__x"])
     place = ["pattern_id", "lat", "lon"]
     found = near.groupBy(*place).agg(F.min(_off()).alias("off_m")).filter(F.col("off_m") <= REACH_M)
     rest = once.join(found, place, "left_anti").join(ends, "pattern_id").groupBy(*place).agg(F.min(_off()).alias("off_m"))
     return reports.join(found.unionByName(rest), place, "left")
 
 
-def _off() -> Column:
-    """Metres from (lat, lon) to the segment a, b on a plane with the scale at the point."""
-    kx, ky = F.cos(F.radians("lat")) * PLAIN_DEGREE_M, F.lit(PLAIN_DEGREE_M)
-    dx, dy, px, py = (F.col("b_lon") - F.col("a_lon")) * kx, (F.col("b_lat") - F.col("a_lat")) * ky, (F.col("lon") - F.col("a_lon")) * kx, (F.col("lat") - F.col("a_lat")) * ky
+def _segments(vertices: DataFrame) -> DataFrame:
+    """The segments of roads: pattern_id, a_lat, a_lon, b_lat, b_lon."""
+    order = W.partitionBy("pattern_id").orderBy("vertex")
+    ends = vertices.select("pattern_id", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.lead("lat").over(order).alias("b_lat"), F.lead("lon").over(order).alias("b_lon"))
+    return ends.filter("b_lat IS NOT NULL")
+
+
+def _cell_of(lat: str, lon: str) -> list[Column]:
+    """The cell of a place: __y, __x. Cells are as high as CELL_M, and as wide in degrees of longitude."""
+    return [F.floor(F.col(c) / (CELL_M / PLAIN_DEGREE_M)).alias(name) for c, name in ((lat, "__y"), (lon, "__x"))]
+
+
+def _in_cells(ends: DataFrame, reach_m: float, most_lat: float) -> DataFrame:
+    """Segments with each cell (__y, __x) that holds places within ``reach_m`` of them, up to ``most_lat`` north or south."""
+    dy, reach = CELL_M / PLAIN_DEGREE_M, reach_m / PLAIN_DEGREE_M
+    # a degree of longitude is as long as at the latitude nearest a pole, or longer
+    shrink = F.cos(F.radians(F.least(F.lit(most_lat), F.greatest(F.abs("a_lat"), F.abs("b_lat")) + reach)))
+    cell = lambda x: F.floor(x / dy)
+    ys = F.sequence(cell(F.least("a_lat", "b_lat") - reach), cell(F.greatest("a_lat", "b_lat") + reach))
+    xs = F.sequence(cell(F.least("a_lon", "b_lon") - reach / shrink), cell(F.greatest("a_lon", "b_lon") + reach / shrink))
+    return ends.withColumn("__y", F.explode(ys)).withColumn("__x", F.explode(xs))
+
+
+def _off(lat: Column | None = None, lon: Column | None = None) -> Column:
+    """Metres from (lat, lon), columns of these names if not given, to the segment a, b on a plane with the scale at the point."""
+    lat, lon = (F.col(name) if c is None else c for c, name in ((lat, "lat"), (lon, "lon")))
+    kx, ky = F.cos(F.radians(lat)) * PLAIN_DEGREE_M, F.lit(PLAIN_DEGREE_M)
+    dx, dy, px, py = (F.col("b_lon") - F.col("a_lon")) * kx, (F.col("b_lat") - F.col("a_lat")) * ky, (lon - F.col("a_lon")) * kx, (lat - F.col("a_lat")) * ky
     square = dx * dx + dy * dy
     t = F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / F.when(square == 0, 1.0).otherwise(square))))
     return F.hypot(px - t * dx, py - t * dy)
@@ -188,17 +204,24 @@ def reports_by_pattern(reports: DataFrame, lines: DataFrame) -> DataFrame:
     return reports.join(once, on).drop(*[f"__{c}" for c in same])
 
 
-
 def shared_roads(sets: DataFrame, vertices: DataFrame, tolerance_m: float = SHARED_M) -> DataFrame:
     """(set_id, piece, from_m, to_m): the stretches of a set's checked road that all its other roads come within ``tolerance_m`` of, in metres along it; the whole road where there is no other.
 
-    sets: set_id, pattern_id, checked (one true in each set); vertices: pattern_id, vertex, lat, lon. Each vertex of the checked road is tested against every other; stretches are runs of shared vertices.
+    sets: set_id, pattern_id, checked (one true in each set); vertices: pattern_id, vertex, lat, lon. Each vertex of the checked road asks every other whether one of its
+    segments is near enough, and takes the first that is; no distance is ranked. Stretches are runs of shared vertices.
     """
-    own = sets.filter("checked").select("set_id", "pattern_id")
-    road = own.join(with_lengths(vertices, ["pattern_id"]), "pattern_id").select("set_id", "vertex", "along", "lat", "lon")
-    others = sets.filter(~F.col("checked")).select("set_id", "pattern_id")
-    asked = road.select("set_id", "vertex", "lat", "lon").join(others, "set_id")
-    near = offsets_from(asked, vertices).groupBy("set_id", "vertex").agg(F.bool_and(F.coalesce(F.col("off_m") <= tolerance_m, F.lit(False))).alias("shared"))
-    rows = road.join(near, ["set_id", "vertex"], "left").withColumn("shared", F.coalesce("shared", F.lit(True)))
-    runs = islands(rows, ["set_id"], ["vertex"], ["shared"]).filter("shared").groupBy("set_id", "island").agg(F.min("along").alias("from_m"), F.max("along").alias("to_m")).filter("to_m > from_m")
+    others = sets.filter(~F.col("checked")).select("set_id", F.col("pattern_id").alias("other"))
+    asks = sets.filter("checked").select("set_id", "pattern_id").join(others, "set_id", "left").withColumn("others", F.count("other").over(W.partitionBy("set_id")))
+    vertices = vertices.filter("pattern_id IS NOT NULL")  # said once, so that both uses of the roads read one shuffle
+    place = F.row_number().over(W.partitionBy("pattern_id").orderBy("vertex"))
+    road = with_lengths(vertices, ["pattern_id"]).withColumn("place", place)
+    cell = dict(zip(("at_y", "at_x"), _cell_of("lat", "lon"), strict=True))
+    asked = road.join(asks, "pattern_id").select("set_id", "place", "along", "others", "other", F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"), *[c.alias(name) for name, c in cell.items()])
+    of = {name: F.col(name).outer() for name in ("other", "at_y", "at_x", "at_lat", "at_lon")}  # no names that a segment has
+    near = _in_cells(_segments(vertices), tolerance_m * 1.001, 89.999).filter((F.col("pattern_id") == of["other"]) & (F.col("__y") == of["at_y"]) & (F.col("__x") == of["at_x"]) & (_off(of["at_lat"], of["at_lon"]) <= tolerance_m))
+    # dealt by set once, which is how everything after it is grouped and ordered
+    met = asked.filter(F.col("other").isNull() | near.exists()).select("set_id", "place", "along", "others", "other").repartition("set_id")
+    shared = met.groupBy("set_id", "place").agg(F.count("other").alias("met"), F.max("others").alias("others"), F.max("along").alias("along")).filter("met = others")
+    runs = shared.withColumn("run", F.col("place") - F.row_number().over(W.partitionBy("set_id").orderBy("place")))
+    runs = runs.groupBy("set_id", "run").agg(F.min("along").alias("from_m"), F.max("along").alias("to_m")).filter("to_m > from_m")
     return runs.select("set_id", F.row_number().over(W.partitionBy("set_id").orderBy("from_m")).alias("piece"), "from_m", "to_m")

@@ -97,6 +97,37 @@ def test_nearest_segment_near_and_far(spark):
     assert sorted(((r["pattern_id"], r["report"], None if r["off_m"] is None else round(r["off_m"], 6)) for r in got), key=repr) == sorted(((p, k, None if lat is None else off(p, lat, lon)) for p, k, lat, lon in reports), key=repr)
 
 
+def test_shared_stretches_and_how_they_are_found(spark):
+    rng = random.Random(21)
+    roads = {p: [(53 + (rng.random() < 0.2) * 0.001 + rng.uniform(0, 1e-4), -2 + 0.0005 * k) for k in range(rng.randrange(20, 40))] for p in range(6)} | {7: [(53.0, -2.0)]}
+    sets = [(s, p, p == s) for s in range(5) for p in (s, s + 1, (s + 3) % 6)] + [(5, 5, True), (6, 0, True), (6, 7, False), (8, 1, True), (8, 99, False)]
+
+    def off(p, lat, lon):
+        kx, best = math.cos(math.radians(lat)) * 111_195.0, math.inf
+        for (ay, ax), (by, bx) in zip(roads.get(p, [])[:-1], roads.get(p, [])[1:], strict=True):
+            dx, dy, px, py = (bx - ax) * kx, (by - ay) * 111_195.0, (lon - ax) * kx, (lat - ay) * 111_195.0
+            t = max(0.0, min(1.0, (px * dx + py * dy) / (dx * dx + dy * dy)))
+            best = min(best, math.hypot(px - t * dx, py - t * dy))
+        return best
+
+    want = []
+    for s in {x[0] for x in sets}:
+        road, others = roads[next(p for t, p, c in sets if t == s and c)], [p for t, p, c in sets if t == s and not c]
+        along, runs, last = 0.0, [], False
+        for k, at in enumerate(road):
+            along += metres(road[k - 1], at) if k else 0.0
+            shared = all(off(p, *at) <= 10 for p in others)
+            if shared:
+                runs = [*runs[:-1], (runs[-1][0], along)] if last else [*runs, (along, along)]
+            last = shared
+        want += [(s, k + 1, round(a, 3), round(z, 3)) for k, (a, z) in enumerate(r for r in runs if r[1] > r[0])]
+    v = spark.createDataFrame([(p, k, *xy) for p, xs in roads.items() for k, xy in enumerate(xs)], "pattern_id long, vertex int, lat double, lon double")
+    got = shapes.shared_roads(spark.createDataFrame(sets, "set_id long, pattern_id long, checked boolean"), v)
+    assert sorted((r["set_id"], r["piece"], round(r["from_m"], 3), round(r["to_m"], 3)) for r in got.collect()) == sorted(want) and len(want) > 12
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "ExistenceJoin" in plan and "LeftAnti" not in plan  # no vertex meets a whole road
+
+
 def test_verdicts(spark):
     v = spark.createDataFrame([(p, k, 53.0, -2.0 + k * 0.01) for p in (1, 2, 3) for k in range(2)] + [(4, 0, 53.0, -2.0)], "pattern_id long, vertex int, lat double, lon double")
     reports = [(1, 53.0 + k * 1e-6, -1.995) for k in range(30)] + [(2, 53.0 + k * 1e-4, -1.995) for k in range(40)] + [(3, 53.0, -1.99)]
