@@ -40,7 +40,7 @@ def with_calls(patterns: DataFrame, calls: DataFrame, places: DataFrame) -> Data
     calls: pattern_id, position, stop. places: stop, lat, lon. The index counts all calls, placed or not.
     """
     at = calls.join(places.select("stop", "lat", "lon"), "stop", "left").groupBy("pattern_id")
-    at = at.agg(F.array_sort(F.collect_list(F.struct("position", "stop", "lat", "lon"))).alias("calls"))
+    at = at.agg(F.sort_array(F.collect_list(F.struct("position", "stop", "lat", "lon"))).alias("calls"))
     indexed = F.transform("calls", lambda c, i: F.struct(i.alias("index"), c["stop"].alias("stop"), c["lat"].alias("lat"), c["lon"].alias("lon")))
     placed = F.filter(indexed, lambda c: c["lat"].isNotNull() & c["lon"].isNotNull())
     return patterns.join(at.select("pattern_id", F.col("calls.stop").alias("sequence"), placed.alias("placed")), "pattern_id", "left")
@@ -79,11 +79,15 @@ def match(vehicles: DataFrame, lines: DataFrame) -> DataFrame:
     v = v.withColumn("__running", F.filter("__valid", lambda p: day.isNull() | F.coalesce(runs_on(p["rules"], day), F.lit(True))))
     v = v.withColumn("__candidates", F.filter("__running", fits))
 
-    def scored(p):
+    def met(p):  # in a step of its own, so that distances are not measured for each use of the nearest
         near = F.array_min(F.transform(p["placed"], lambda s: F.struct(metres(F.col("lat"), F.col("lon"), s["lat"], s["lon"]).alias("d"), s["index"].alias("index"), s["stop"].alias("stop"))))
+        return F.struct(near.alias("near"), p.alias("p"))
+
+    def scored(x):
+        near, p = x["near"], x["p"]
         return F.struct(near["d"].alias("d"), (-p["stop_count"]).alias("fewer"), p["pattern_id"].alias("pattern_id"), near["index"].alias("index"), near["stop"].alias("stop"), p.alias("p"))
 
-    v = v.withColumn("__scored", F.array_sort(F.filter(F.transform("__candidates", scored), lambda x: x["d"].isNotNull())))
+    v = v.withColumn("__scored", F.sort_array(F.filter(F.transform(F.transform("__candidates", met), scored), lambda x: x["d"].isNotNull())))
     v = v.withColumn("__best", F.get("__scored", F.lit(0))["d"])
     v = v.withColumn("__near", F.filter("__scored", lambda x: x["d"] - F.col("__best") < AMBIGUITY_M))
     new = lambda x, i: ~F.exists(F.slice("__near", F.lit(1), i), lambda y: y["p"]["sequence"] == x["p"]["sequence"])
@@ -100,7 +104,8 @@ def match(vehicles: DataFrame, lines: DataFrame) -> DataFrame:
     reason = F.lit(None).cast("string")
     for test, name in reversed(list(zip(tests, REASONS, strict=True))):
         reason = F.when(test, F.lit(name)).otherwise(reason)
-    v = v.withColumn("reason", reason)
+    # the one element of an array, since a caller's filter on a column is moved below what makes it, and the ladder would be worked out anew for each mention of it
+    v = v.withColumn("reason", F.explode(F.array(reason)))
     matched, torn = F.col("reason").isNull(), F.col("reason") == "ambiguous_branch"
     onward = F.transform("__paths", lambda x: F.slice(x["p"]["sequence"], x["index"] + 2, F.size(x["p"]["sequence"])))
     one_stop = torn & (F.size(F.array_distinct(F.transform("__paths", lambda x: x["stop"]))) == 1)

@@ -71,6 +71,14 @@ def test_what_is_matched_and_why(spark, lines):
     assert len(torn["candidates"]) == 2 and {c["pattern_index"] for c in torn["candidates"]} == {1}
 
 
+def test_filters_on_results_do_not_repeat_the_ladder(spark, lines):
+    v = spark.createDataFrame([("x", "1", "X", "", None, *PLACES["b"], MONDAY)], "id string, route string, operator string, direction string, destination string, lat double, lon double, day date")
+    found = matching.match(v, lines)
+    for kept in ("matched", "reason IS NULL", "reason = 'loop_pattern'", "pattern_id = 'one'", "metres > 100"):
+        assert found.filter(kept)._jdf.queryExecution().optimizedPlan().toString().count("HYPOT") == 1, kept  # distances to a vehicle's candidates stand there once
+    assert [r["pattern_id"] for r in found.filter("matched").collect()] == ["one"] and not found.filter("NOT matched").collect()
+
+
 def test_scheduled_journeys_and_their_reasons(spark):
     departures = spark.createDataFrame([("one", "08:00:00", 0), ("one", "08:00:00", 0), ("one", "09:00:00", 0), ("one", "09:00:00", 1)], "pattern_id string, departure string, timing int")
     rows = [("shared", "one", "2026-09-28T07:00:00Z"), ("differ", "one", "2026-09-28T08:00:00+00:00"), ("none", "one", None), ("unread", "one", "tomorrow"), ("other", "one", "2026-09-28T11:00:00Z"), ("bare", "two", "2026-09-28T07:00:00Z")]
