@@ -16,14 +16,16 @@ def linear(x: Column, q: float) -> Column:
 PIECES = 64
 
 
-def ranked_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def ranked_values(df: DataFrame, keys: list[str], value: str, rows: str | None = None) -> DataFrame:
     """keys, value, n, first (0-based rank of its first row), total: the distinct values of each group with their ranks. Nulls of ``value`` are left out.
 
+    rows: the column that says how many rows each row stands for, where they are counted already.
+
     Rows are counted by value before anything is ordered, so a frequent value is one row. A hot group is dealt to ``PIECES`` ranges
     at approximate quantiles; ranks within a range and the counts of the ranges before it add up to exact ranks, wherever the
     cuts lie. No group is sorted, or held, by one task.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(rows) if rows else F.count(F.lit(1))).alias("n"))
     cuts = F.array(*[F.lit(k / PIECES) for k in range(1, PIECES)])
     bounds = counted.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("__cuts"))
     dealt = _joined(counted, bounds, keys).withColumn("__piece", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
@@ -31,8 +33,8 @@ def ranked_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     pieces = dealt.groupBy(*keys, "__piece").agg(F.sum("n").alias("__n"))
     pieces = pieces.select(*keys, "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(W.partitionBy(*keys)).alias("total"))
     within = F.sum("n").over(W.partitionBy(*keys, "__piece").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    rows = _joined(dealt.withColumn("__within", within), pieces, [*keys, "__piece"])
-    return rows.select(*keys, value, "n", (F.col("__before") + F.col("__within") - F.col("n")).alias("first"), "total")
+    ranked = _joined(dealt.withColumn("__within", within), pieces, [*keys, "__piece"])
+    return ranked.select(*keys, value, "n", (F.col("__before") + F.col("__within") - F.col("n")).alias("first"), "total")
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,8 +46,8 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, on).drop(*[f"__r_{k}" for k in keys])
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """keys and one column for each of ``wanted``: name to (convention, fraction), exact, and ``n``, how many values there are.
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[str, float]], rows: str | None = None) -> DataFrame:
+    """keys and one column for each of ``wanted``: name to (convention, fraction), exact, and ``n``, how many values there are. rows: as for ``ranked_values``.
 
     Conventions: ``index``, the value at int(q * n), the last at most; ``floor``, at floor((n - 1) * q); ``upper``, at floor(n / 2);
     ``linear``, between the two values about (n - 1) * q.
@@ -62,7 +64,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tupl
         else:
             rank = {"index": F.least(F.floor(n * q), n - 1), "floor": F.floor((n - 1) * q), "upper": F.floor(n / 2)}[convention]
             out.append(holds(rank).alias(name))
-    return ranked_values(df, keys, value).groupBy(*keys).agg(*out, F.max("total").alias("n"))
+    return ranked_values(df, keys, value, rows).groupBy(*keys).agg(*out, F.max("total").alias("n"))
 
 
 def small_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:

@@ -15,11 +15,12 @@ from headway.constants import COORD_TOLERANCE_DEG, GEOMETRY_TOLERANCE_M, MAPPING
 from headway.functions import stats
 from headway.functions.geo import metres, polyline_points
 from headway.operators.matching import match
-from headway.operators.sequences import asof, islands
+from headway.operators.sequences import asof
+from headway.session import settled
 
 OCCURRENCES = "array<struct<index:int,stop:string,offset:double>>"
 #: Metres that a cell of the segment index reaches, and its size in degrees of latitude; both are only about how many segments a report meets.
-REACH_M, CELL_M = 120.0, 240.0
+REACH_M, CELL_M = 40.0, 240.0
 
 
 def windows(stops: Column, size: int = SHAPE_WINDOW) -> Column:
@@ -137,14 +138,17 @@ def offsets_from(reports: DataFrame, vertices: DataFrame) -> DataFrame:
 
     Places that repeat are measured once and joined back.
     """
-    ends = _segments(vertices)
-    segments = _in_cells(ends, REACH_M, 85.0)
     once = reports.select("pattern_id", "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct()
-    near = once.select("*", *_cell_of("lat", "lon")).join(segments, ["pattern_id", "__y", "__x"])
-    place = ["pattern_id", "lat", "lon"]
-    found = near.groupBy(*place).agg(F.min(_off()).alias("off_m")).filter(F.col("off_m") <= REACH_M)
-    rest = once.join(found, place, "left_anti").join(ends, "pattern_id").groupBy(*place).agg(F.min(_off()).alias("off_m"))
-    return reports.join(found.unionByName(rest), place, "left")
+    return reports.join(_measured(once, vertices), ["pattern_id", "lat", "lon"], "left")
+
+
+def _measured(places: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Distinct ``places`` (pattern_id, lat, lon and what else) with ``off_m``; those whose pattern has no segment are left out."""
+    ends = _segments(vertices)
+    near = places.select("*", *_cell_of("lat", "lon")).join(_in_cells(ends, REACH_M, 85.0), ["pattern_id", "__y", "__x"])
+    found = near.groupBy(*places.columns).agg(F.min(_off()).alias("off_m")).filter(F.col("off_m") <= REACH_M)
+    rest = places.join(found, ["pattern_id", "lat", "lon"], "left_anti").join(ends, "pattern_id").groupBy(*places.columns).agg(F.min(_off()).alias("off_m"))
+    return found.unionByName(rest)
 
 
 def _segments(vertices: DataFrame) -> DataFrame:
@@ -182,9 +186,11 @@ def _off(lat: Column | None = None, lon: Column | None = None) -> Column:
 
 def validated(reports: DataFrame, vertices: DataFrame) -> DataFrame:
     """(pattern_id, reports, p50, p95, within30, status, reason) of every road: whether its own reports vouch for it."""
-    off = offsets_from(reports.select("pattern_id", "lat", "lon"), vertices).filter("off_m IS NOT NULL")
-    at = stats.quantiles(off, ["pattern_id"], "off_m", {"p50": ("linear", 0.5), "p95": ("linear", 0.95)}).drop("n")
-    per = off.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("reports"), F.avg((F.col("off_m") <= WITHIN_M).cast("double")).alias("within30"))
+    places = reports.filter("lat IS NOT NULL AND lon IS NOT NULL").groupBy("pattern_id", "lat", "lon").agg(F.count(F.lit(1)).alias("n"))
+    # counted by distance once, for all that is asked of it
+    off = settled(_measured(places, vertices).filter("off_m IS NOT NULL").groupBy("pattern_id", "off_m").agg(F.sum("n").alias("n")))
+    at = stats.quantiles(off, ["pattern_id"], "off_m", {"p50": ("linear", 0.5), "p95": ("linear", 0.95)}, "n").drop("n")
+    per = off.groupBy("pattern_id").agg(F.sum("n").alias("reports"), (F.sum(F.when(F.col("off_m") <= WITHIN_M, F.col("n")).otherwise(0)) / F.sum("n")).alias("within30"))
     roads = vertices.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("points"))
     rows = roads.join(per, "pattern_id", "left").join(at, "pattern_id", "left").withColumn("reports", F.coalesce("reports", F.lit(0)))
     reason = F.when(F.col("points") < 2, "no_path").when(F.col("reports") < SHAPE_MIN_REPORTS, "too_few_reports").when(F.col("p95") > SHAPE_P95_M, "too_far")

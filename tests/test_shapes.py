@@ -135,6 +135,17 @@ def test_verdicts(spark):
     assert got == {1: (30, "accepted", None), 2: (40, "rejected", "too_far"), 3: (1, "rejected", "too_few_reports"), 4: (0, "rejected", "no_path")}
 
 
+def test_repeated_reports_are_measured_once(spark):
+    v = spark.createDataFrame([(1, k, 53.0, -2.0 + k * 0.01) for k in range(3)], "pattern_id long, vertex int, lat double, lon double")
+    at = [(1e-6, 20), (2e-4, 12), (4e-4, 5), (0.03, 3)]  # degrees off the road, reports there; the last is beyond any cell's reach
+    found = shapes.validated(spark.createDataFrame([(1, 53.0 + d, -1.995) for d, n in at for _ in range(n)] + [(1, None, -1.995)], "pattern_id long, lat double, lon double"), v)
+    off = sorted(d * 111_195.0 for d, n in at for _ in range(n))
+    linear = lambda q: off[int(39 * q)] + (off[min(int(39 * q) + 1, 39)] - off[int(39 * q)]) * (39 * q % 1)
+    r = found.first()
+    assert (r["reports"], r["within30"], r["reason"]) == (40, 32 / 40, "too_far") and abs(r["p50"] - linear(0.5)) < 1e-4 and abs(r["p95"] - linear(0.95)) < 1e-4
+    assert "HYPOT" not in found._jdf.queryExecution().optimizedPlan().toString()  # what is asked of the distances does not measure them again
+
+
 def test_encoded_roads(spark):
     from headway.functions.geo import encode_polyline
 
