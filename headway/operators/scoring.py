@@ -84,6 +84,23 @@ def journey_coverage(spells: DataFrame, keys: list[str]) -> DataFrame:
     return spells.groupBy(*keys).agg(F.sum("eligible").alias("eligible"), F.sum("eligible_shown").alias("eligible_shown"), F.countDistinct(F.when(F.col("shown") > 0, F.col("stop_index"))).alias("passages"))
 
 
+def journey_counts(spells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, bin, n): the rows of ``journey_histograms`` and, by the kinds ``eligible`` and ``eligible_shown`` (bin 0), the moments that ``journey_coverage`` counts; one pass for both."""
+    count = lambda kind, bin, n: F.struct(F.lit(kind).alias("kind"), bin.alias("bin"), F.col(n).alias("n"))
+    rows = spells.select(*keys, "shown", "eligible", "eligible_shown", error_bin(F.col("error_min")).alias("signed"), F.abs(error_bin(F.col("timetable_min"))).alias("late"))
+    kinds = F.array(count("signed", F.col("signed"), "shown"), count("candidate", F.abs("signed"), "shown"), count("timetable", F.col("late"), "shown"), count("eligible", F.lit(0), "eligible"), count("eligible_shown", F.lit(0), "eligible_shown"))
+    rows = rows.select(*keys, "late", F.explode(kinds).alias("k")).filter("k.n > 0 AND (late IS NOT NULL OR k.kind NOT IN ('candidate', 'timetable'))")
+    return rows.groupBy(*keys, "k.kind", "k.bin").agg(F.sum("k.n").alias("n"))
+
+
+def evaluated(spells: DataFrame, keys: list[str], interval: tuple[float, float]) -> DataFrame:
+    """``pooled`` of spells (keys, journey and what ``display_spells`` gives), which are made once."""
+    counts = settled(journey_counts(spells, [*keys, "journey"]))
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(kind)
+    coverage = counts.groupBy(*keys, "journey").agg(of("eligible"), of("eligible_shown"))
+    return _pooled(counts.filter("kind IN ('signed', 'candidate', 'timetable')"), coverage, keys, interval)
+
+
 def _quantile(bins: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
     """Minutes of the first bin at which a histogram (keys, bin, n) has come to each share."""
     upto = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
@@ -96,7 +113,10 @@ def pooled(histograms: DataFrame, coverage: DataFrame, keys: list[str], interval
 
     histograms: keys, journey, kind, bin, n; coverage: keys, journey, eligible, eligible_shown, passages. ``interval``: minutes of signed error, whose share of moments is given.
     """
-    histograms = settled(histograms)
+    return _pooled(settled(histograms), coverage, keys, interval)
+
+
+def _pooled(histograms: DataFrame, coverage: DataFrame, keys: list[str], interval: tuple[float, float]) -> DataFrame:
     add = lambda rows, by: rows.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
     signed, folded = histograms.filter("kind = 'signed'"), histograms.filter("kind = 'signed'").withColumn("bin", F.abs("bin"))
     minutes = F.col("bin") * BIN_MIN

@@ -89,7 +89,7 @@ JOIN (SELECT journey % 3 AS grp, count(*) FILTER (WHERE eligible) AS eligible, c
 def display_evaluation(spark, sf_dir):
     """Pooled errors, interval coverage, share later, coverage and medians of medians, by group of journeys."""
     s = _spells(spark, sf_dir).withColumn("grp", F.col("journey") % 3)
-    found = scoring.pooled(scoring.journey_histograms(s, ["grp", "journey"]), scoring.journey_coverage(s, ["grp", "journey"]), ["grp"], (-1.15, 5.75))
+    found = scoring.evaluated(s, ["grp"], (-1.15, 5.75))
     six = lambda *names: [F.round(n, 6).alias(n) for n in names]
     return found.select("grp", "moments", "journeys", F.round("share_later", 9).alias("share_later"), F.round("interval_coverage", 9).alias("interval_coverage"), *six("median_abs", "p80_abs", "signed_p10", "signed_p90", "median_abs_where_paired", "timetable_median_abs"), "eligible", F.round("coverage", 9).alias("coverage"), *six("median_of_medians"))
 

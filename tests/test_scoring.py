@@ -26,3 +26,15 @@ def test_small_quantiles_are_the_exact_ones(spark):
     x = spark.createDataFrame([(k, rng.randrange(50) / 7 if rng.random() < 0.9 else None) for k in range(20) for _ in range(k)], "k long, x double")
     want = stats.quantiles(x, ["k"], "x", {"own": ("linear", 0.5)}).drop("n")
     assert sorted(stats.small_quantile(x, ["k"], "x", 0.5, "own").collect()) == sorted(want.collect())
+
+
+def test_evaluation_makes_its_spells_once(spark):
+    rng = random.Random(20)
+    rows = [(j % 3, j, rng.randrange(20), n if j % 3 else 0, rng.randrange(n + 1) if j % 3 else 0, rng.randrange(30), rng.uniform(-5, 9), rng.uniform(-9, 9) if rng.random() < 0.6 else None) for j in range(40) for n in range(15)]
+    rows += [(5, 99, 1, 4, 0, 0, None, 2.0), (1, 98, 1, 4, 0, 0, None, None)]  # never shown
+    s = spark.createDataFrame(rows, "grp int, journey long, stop_index int, eligible long, eligible_shown long, shown long, error_min double, timetable_min double")
+    by = ["grp", "journey"]
+    want = scoring.pooled(scoring.journey_histograms(s, by), scoring.journey_coverage(s, by), ["grp"], (-1.15, 5.75))
+    got = scoring.evaluated(s, ["grp"], (-1.15, 5.75))
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.filter("grp = 0").first()["eligible"] == 0
+    assert "error_min" not in got._jdf.queryExecution().optimizedPlan().toString()
