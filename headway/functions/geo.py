@@ -117,6 +117,14 @@ class Track:
         (y, x), (north, east) = self.points[k], self.points[k + 1]
         return y + t * (north - y), x + t * (east - x)
 
+    def points_at(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``point_at``, of many places: (lats, lons)."""
+        k = np.clip(np.searchsorted(self.length, s, "right") - 1, 0, len(self.length) - 2)
+        part = self.length[k + 1] - self.length[k]
+        t = np.clip(np.where(part > 0, (s - self.length[k]) / np.where(part > 0, part, 1), 0), 0, 1)
+        (y, x), (north, east) = (np.moveaxis(self.at[i], -1, 0) for i in (k, k + 1))
+        return y + t * (north - y), x + t * (east - x)
+
     def heading_at(self, s: float) -> float:
         """Degrees clockwise from north of the segment at ``s``."""
         north, east = self.steps[self.segment(s)]

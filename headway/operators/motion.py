@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def speed_of(at: list[int], along: list[float], p: Settings) -> tuple[float | No
         return None, "one_report", False
 
     def readable(j: int) -> int:
-        return next((i for i in range(j - 1, -1, -1) if at[j] - at[i] >= span), -1)
+        return bisect.bisect_right(at, at[j] - span, 0, j) - 1
 
     start = 0
     for j in range(last, 0, -1):
@@ -151,13 +152,68 @@ class Placed:
         self.at, self.along, self.off = at, along, off
         self.speeds: dict[tuple, tuple] = {}
 
+    @staticmethod
+    def reads(p: Settings) -> tuple:
+        """What a speed depends on."""
+        return p.max_speed, p.still, p.least_span, p.window, p.gap, p.back, p.standing_m, p.cruise
+
     def speed(self, p: Settings) -> tuple[float | None, str | None, bool]:
-        key = (p.max_speed, p.still, p.least_span, p.window, p.gap, p.back, p.standing_m, p.cruise)
+        key = self.reads(p)
         if key not in self.speeds:
             self.speeds[key] = speed_of(self.at, self.along, p)
         return self.speeds[key]
 
 
+#: Moments of a journey at which all settings are asked at once.
+CASES = 1 << 11
+
+
+class Family:
+    """Settings as columns, so that all of them are asked at once what ``_estimate`` asks one."""
+
+    def __init__(self, settings: list[Settings]):
+        self.settings = settings
+        self.horizon, self.decay, self.stale, self.off_track, self.dwell, self.tolerance, self.hold = (
+            np.array([float(getattr(p, name)) for p in settings]) for name in ("horizon", "decay", "stale", "off_track", "dwell", "stop_tolerance", "hold")
+        )
+        #: Settings that read speeds differently, and which of them each setting reads as.
+        readers = {Placed.reads(p): p for p in settings}
+        self.readers, places = list(readers.values()), {key: i for i, key in enumerate(readers)}
+        self.reader = np.array([places[Placed.reads(p)] for p in settings], int)
+
+    def estimates(self, cases: list[Placed], when: list[int], length: float, stops: list[float]) -> np.ndarray:
+        """Metres along the road by case and setting, NaN where there is no estimate."""
+        read = [[known.speed(p) for p in self.readers] for known in cases]
+        speed = np.array([[math.nan if v is None else v for v, _, _ in row] for row in read])[:, self.reader]
+        held = np.array([[standing for _, _, standing in row] for row in read])[:, self.reader] & (speed > 0)
+        age = np.array([max(0.0, (w - known.at[-1]) / 1000) for known, w in zip(cases, when, strict=True)])[:, None]
+        off, s0 = np.array([known.off for known in cases])[:, None], np.array([known.along[-1] for known in cases])[:, None]
+        none = np.isnan(speed) | (off > self.off_track) | (age > self.stale) | (held & (self.hold == 0))
+        ahead = np.minimum(age, self.horizon)
+        eased = np.where(self.decay > 0, self.decay * (1 - np.exp(-ahead / np.where(self.decay > 0, self.decay, 1))), ahead)
+        s = self.advance(np.array(stops, float), s0, np.where(none, 0, speed), np.where(held, ahead - self.hold, eased))
+        return np.where(none, np.nan, np.minimum(length, np.maximum(0.0, s)))
+
+    def advance(self, stops: np.ndarray, s0: np.ndarray, speed: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+        """As ``advance`` one stop at a time, for those that still move."""
+        going = (speed > 0) & (seconds > 0)
+        s, left = np.broadcast_to(s0, speed.shape).copy(), np.where(going, seconds, 0)
+        row, column = np.nonzero(going & (self.dwell > 0))
+        k = np.searchsorted(stops, s0[row, 0] + self.tolerance[column], "right")
+        while len(row):
+            ends = k < len(stops)
+            row, column, k = row[ends], column[ends], k[ends]
+            here, rest, stop = s[row, column], left[row, column], stops[k]
+            need = (stop - here) / speed[row, column]
+            reached = rest > need
+            row, column, k, rest = row[reached], column[reached], k[reached] + 1, (rest - need)[reached]
+            s[row, column] = stop[reached]
+            pausing = rest <= self.dwell[column]
+            left[row, column] = np.where(pausing, 0, rest - self.dwell[column])
+            row, column, k = row[~pausing], column[~pausing], k[~pausing]
+        return s + speed * left
+
+
 class Journey:
     """A journey's reports (at, available, lat, lon) in order of their own time, one for each, and its road if it has one.
 
@@ -228,21 +284,24 @@ class Journey:
                 out.append((self.available[k], self.placed(before), self.case(k)))
         return out
 
-    def errors(self, p: Settings, ahead_s: int = AHEAD_S) -> Iterator[tuple[int, int, float, float | None, str | None]]:
-        """(basis, target, metres from basis to target, metres from the estimate to the target, why there is none) of reports by their places."""
+    def pairs(self, ahead_s: int) -> Iterator[tuple[int, int]]:
+        """(basis, target) of every report that was the newest when it was fetched and each later one of the next ``ahead_s`` seconds."""
         for k, at in enumerate(self.at):
             end = bisect.bisect_right(self.at, at + ahead_s * 1000)
-            if end == k + 1 or not self.newest(k):
+            if end > k + 1 and self.newest(k):
+                for t in range(k + 1, end):
+                    yield k, t
+
+    def errors(self, p: Settings, ahead_s: int = AHEAD_S) -> Iterator[tuple[int, int, float, float | None, str | None]]:
+        """(basis, target, metres from basis to target, metres from the estimate to the target, why there is none) of reports by their places."""
+        for k, t in self.pairs(ahead_s):
+            there = self.points[t]
+            stay = metres_between(self.points[k], there)
+            if not self.track:
+                yield k, t, stay, None, "no_road"
                 continue
-            here, known = self.points[k], self.case(k) if self.track else None
-            for t in range(k + 1, end):
-                there = self.points[t]
-                stay = metres_between(here, there)
-                if known is None:
-                    yield k, t, stay, None, "no_road"
-                    continue
-                s, reason = _estimate(known, self.at[t], self.length, self.stops, p)
-                yield k, t, stay, None if s is None else metres_between(self.track.point_at(s), there), reason
+            s, reason = _estimate(self.case(k), self.at[t], self.length, self.stops, p)
+            yield k, t, stay, None if s is None else metres_between(self.track.point_at(s), there), reason
 
     def moves(self, p: Settings) -> Iterator[float]:
         """How far the estimate moves along the road whenever a newest report is fetched."""
@@ -251,6 +310,24 @@ class Journey:
             if a is not None and b is not None:
                 yield b - a
 
+    def totals(self, family: Family, ahead_s: int) -> np.ndarray:
+        """(estimates, sum of their errors, moves, sum of their sizes) by setting: what ``errors`` and ``moves`` give, for the whole family at once."""
+        out = np.zeros((4, len(family.settings)))
+        pairs = self.pairs(ahead_s) if self.track else iter(())
+        while part := list(itertools.islice(pairs, CASES)):
+            s = family.estimates([self.case(k) for k, _ in part], [self.at[t] for _, t in part], self.length, self.stops)
+            lat, lon = self.track.points_at(np.nan_to_num(s))
+            there = np.array([self.points[t] for _, t in part])[:, :, None]
+            east = np.radians(there[:, 1] - lon) * np.cos(np.radians((lat + there[:, 0]) / 2))
+            error = np.hypot(east, np.radians(there[:, 0] - lat)) * MEAN_RADIUS_M
+            held = ~np.isnan(s)
+            out[:2] += held.sum(0), np.where(held, error, 0).sum(0)
+        for first in range(0, len(self.arrivals), CASES):
+            part = self.arrivals[first : first + CASES]
+            before, after = (family.estimates([a[i] for a in part], [a[0] for a in part], self.length, self.stops) for i in (1, 2))
+            out[2:] += (~np.isnan(after - before)).sum(0), np.nansum(np.abs(after - before), 0)
+        return out
+
 
 def _journeys(batch: pa.RecordBatch) -> Iterator[tuple[int, Journey]]:
     columns = [batch.column(c) for c in ("reports", "lats", "lons", "stops")]
@@ -297,19 +374,12 @@ def compared(reports: DataFrame, roads: DataFrame, settings: list[Settings]) ->
     """(setting, n, mean_m, moves, mean_move_m): mean error up to a minute ahead and the mean size of visible moves of each setting, by its place in the list."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [[0, 0.0, 0, 0.0] for _ in settings]
+        family, sums = Family(settings), np.zeros((4, len(settings)))
         for batch in batches:
             for _, j in _journeys(batch):
-                for total, p in zip(sums, settings, strict=True):
-                    for _, _, _, e, _ in j.errors(p, 60):
-                        if e is not None:
-                            total[0] += 1
-                            total[1] += e
-                    for move in j.moves(p):
-                        total[2] += 1
-                        total[3] += abs(move)
-        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(settings)), pa.int32()), *(pa.array([s[i] for s in sums], t) for i, t in enumerate(kinds))], names=["setting", "n", "e", "moves", "m"])
+                sums += j.totals(family, 60)
+        kinds = (np.int64, np.float64, np.int64, np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(settings)), pa.int32()), *(pa.array(s.astype(t)) for s, t in zip(sums, kinds, strict=True))], names=["setting", "n", "e", "moves", "m"])
 
     parts = _with_roads(reports, roads).mapInArrow(of, "setting int, n long, e double, moves long, m double").groupBy("setting").agg(*[F.sum(c).alias(c) for c in ("n", "e", "moves", "m")])
     return parts.select("setting", "n", (F.col("e") / F.greatest("n", F.lit(1))).alias("mean_m"), "moves", (F.col("m") / F.greatest("moves", F.lit(1))).alias("mean_move_m"))

@@ -40,5 +40,5 @@ def motion_profile(spark, sf_dir):
 
 @query()
 def motion_settings(spark, sf_dir):
-    """The mean error and the visible moves of a family of settings."""
-    return motion.compared(*world(spark, sf_dir), motion.grid(motion.Settings(horizon=120.0))[::13])
+    """The mean error and the visible moves of every setting of the family."""
+    return motion.compared(*world(spark, sf_dir), motion.grid(motion.Settings(horizon=120.0)))

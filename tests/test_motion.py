@@ -142,3 +142,26 @@ def test_a_report_is_sought_on_the_road_once(monkeypatch):
         assert j.newest(k) == (upto[-1]["at"] == j.at[k])
         if j.newest(k):
             assert [j.at[i] for i in reversed(j.known(k, j.available[k]))] == [f["at"] for f in upto[-12:]]
+
+
+def test_every_setting_of_the_family_is_compared(spark, tmp_path):
+    """motion_settings tries the whole family, and asking all settings at once gives what each of them gives by itself."""
+    from pyspark.sql import functions as F
+
+    from headway.plans import registry
+    from headway.plans.motion import world
+
+    x = spark.range(500).select("id", (F.col("id") % 7).alias("user_id"), (F.timestamp_seconds(1_704_067_200 + F.col("id") * 4_000 + F.col("id") * F.col("id") % 9_000)).alias("ts"), (F.col("id") * 37 % 11 * F.col("id") % 90 * 1.0).alias("value"))
+    x.withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["setting"]: r for r in registry.QUERIES["motion_settings"](spark, str(tmp_path)).collect()}
+    settings = motion.grid(Settings(horizon=120.0))
+    assert sorted(got) == list(range(len(settings))) and len(settings) == 100
+    reports, roads = (rows.collect() for rows in world(spark, str(tmp_path)))
+    road = {r["pattern_id"]: (r["lats"], r["lons"], r["stops"]) for r in roads}
+    journeys = [motion.Journey([r.asDict() for r in reports if r["journey"] == j], *road.get(j % 5, (None,) * 3)) for j in range(7)]
+    for k, p in enumerate(settings):
+        errors = [e for j in journeys for _, _, _, e, _ in j.errors(p, 60) if e is not None]
+        moves = [abs(m) for j in journeys for m in j.moves(p)]
+        assert (got[k]["n"], got[k]["moves"]) == (len(errors), len(moves)) and len(errors) > 50 and len(moves) > 50
+        assert got[k]["mean_m"] == pytest.approx(sum(errors) / len(errors), rel=1e-9) and got[k]["mean_move_m"] == pytest.approx(sum(moves) / len(moves), rel=1e-9)
+    assert len({round(r["mean_m"], 6) for r in got.values()}) > 20
