@@ -1,9 +1,11 @@
 """Queries that leave nothing out, against brute force on a small fixture whose ids lie beyond any fixed subset."""
 
+import re
 from datetime import datetime
 
 import pytest
 
+from headway.operators import planner
 from headway.plans import registry
 
 #: Stops in the order of call by pattern.
@@ -51,3 +53,33 @@ def test_places_of_all_names(spark, tmp_path):
     spark.createDataFrame([(n,) for n in names + names[:3]], "p_brand string").write.parquet(str(tmp_path / "part.parquet"))
     got = {r["p_brand"]: r["place"] for r in registry.QUERIES["natural_order"](spark, str(tmp_path)).collect()}
     assert got == {n: k + 1 for k, n in enumerate(sorted(names, key=lambda n: int(n[6:])))}
+
+
+def test_legs_of_one_change_journeys_are_not_shuffled(spark, small):
+    """Lines are dealt by pattern and each call once by its place, with its pattern's calls; legs are made there."""
+    plan = registry.QUERIES["one_change_journeys"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    keys = {re.sub(r"#\w+", "", k) for k in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)}
+    assert keys == {"l_orderkey", "change"} and "Broadcast" not in plan
+    sent = re.findall(r"Exchange hashpartitioning\(change.*?\n.*?Project (\[.*?\])\n", plan)
+    assert len(sent) == 2 and re.sub(r"#\w+", "", sent[0]) == re.sub(r"#\w+", "", sent[1])  # alike, so that it is done once
+
+
+def test_one_change_between_chosen_stops(spark):
+    """Two patterns of a place may be one with several origins, which leaves room for another beside it."""
+    calls = [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 1, 0), (2, 3, 3), (3, 3, 0), (3, 4, 9), (4, 2, 0), (4, 3, 5), (4, 2, 6), (4, 4, 17), (None, 1, 0), (None, 3, 1)]
+    frame = lambda stops: spark.createDataFrame([c for c in calls if c[1] in stops], "pattern_id long, stop long, position int")
+    pairs = lambda a, b: [(p, s, e, y - x) for p, s, x in calls for q, e, y in calls if p is not None and p == q and x < y and s in a and e in b]
+    for origins, every, targets in (({1, 2}, {1, 2, 3, 4}, {4}), ({1, 2, 3, 4},) * 3):
+        o, s, t = (frame(x) for x in (origins, every, targets))
+        if origins == every:
+            o = t = s
+        for by_origin in (True, False):
+            want = {}
+            for p, a, c, r1 in pairs(origins, every):
+                for q, d, z, r2 in pairs(every, targets):
+                    if c == d and p != q and (a != z or not by_origin):
+                        key = (a, c, z) if by_origin else (c, z)
+                        want[key] = min(want.get(key, (99,)), (r1 + r2, p, q))
+            rows = planner.one_change(o, s, t, by_origin).collect()
+            got = {((r["origin"],) if by_origin else ()) + (r["change"], r["alight"]): (r["score"], r["first_id"], r["second_id"]) for r in rows}
+            assert got == want and len(rows) == len(want) > 1
